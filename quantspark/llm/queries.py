@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, lines, mixing, near, packing, quality, tokenfile
+from . import chat, exact, langid, lines, mixing, near, packing, passages, quality, tokenfile
 
 
 def tokenizer_file(name: str) -> str:
@@ -120,6 +120,30 @@ def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = passages.dedup_passages(documents(spark, sf_dir))
+    return clean.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS i FROM w)),
+f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+c AS (
+  SELECT DISTINCT doc_id, i + k AS pos FROM g JOIN f USING (gram), (SELECT unnest(range(0, 13)) AS k)
+  WHERE doc_id > first),
+p AS (SELECT doc_id, pos, ws[pos] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w)),
+k AS (
+  SELECT p.doc_id, CAST(count(c.pos) AS BIGINT) AS n_removed,
+    string_agg(word, ' ' ORDER BY p.pos) FILTER (c.pos IS NULL) AS kept
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.pos = p.pos GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     held_out = F.coalesce(langid.fold() == 1, F.lit(False))
@@ -164,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_near_dedup": op5_near_dedup,
     "op6_pack_windows": op6_pack_windows,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
@@ -174,5 +199,6 @@ SQL: dict[str, str] = {
     "op2_chat_format": _op2_sql(),
     "op3_line_dedup": OP3_SQL,
     "op5_near_dedup": OP5_SQL,
+    "op7_substring_dedup": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
 }
