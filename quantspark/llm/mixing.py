@@ -118,7 +118,7 @@ def schedule(plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, block_words: int = 256) -> Mixture:
     """Mix ``docs`` (doc_id, text, source).
 
-    ``rows``: doc_id, size, source_size, target, taken.  ``pieces``: slot, epoch, s, begin, doc_id, from_word, n_words.
+    ``rows``: doc_id, size, source_size, target, taken.  ``pieces``: slot, epoch, s, begin, doc_id, size, from_word, n_words.
     """
     sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = materialise(targets(sizes, weights, share, max_epochs), "mix-sources")
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     joined = slots.join(parts, ["s", "block"])
     first = F.greatest(F.col("begin"), F.col("block") * b)
     joined = joined.withColumn("first", first).withColumn("n_words", F.least(F.col("end"), F.col("block") * b + b, F.col("until")) - F.col("first"))
-    pieces = joined.where("n_words > 0").select("slot", "epoch", "s", "begin", "doc_id", (F.col("first") - F.col("begin")).alias("from_word"), "n_words")
+    pieces = joined.where("n_words > 0").select("slot", "epoch", "s", "begin", "doc_id", "size", (F.col("first") - F.col("begin")).alias("from_word"), "n_words")
     taken = pieces.groupBy("s", "begin").agg(F.sum("n_words").alias("taken"))
     # documents of size 0 share their position with the next document, and take nothing
     rows = placed.withColumn("at", F.when(F.col("size") > 0, F.col("begin")))

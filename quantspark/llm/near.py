@@ -9,9 +9,10 @@ r"""Near-duplicate detection with SetSketch registers.
 4. The similarity of a pair is estimated jointly from both sketches by maximum likelihood (with the known set sizes);
    a pair goes on unless the likelihood of every similarity at the threshold or above is lower by ``slack`` nats.
 5. Pairs that go on are verified on their full sets.  Verified links are closed into components.
-6. Buckets that still hold several components may hide links that no pivot saw.  All remaining pairs between different
-   components of such a bucket are tried as well (size ratio and one bit per register are compared inside the join, so
-   only plausible pairs leave it), and the components are closed again.  No cap is set on buckets or partners.
+6. Buckets that still hold several components may hide links that no pivot saw.  A few turns with other pivots join
+   most of them, again with as many pairs as rows.  All pairs that then remain between different components of a bucket
+   are tried as well (size ratio and one bit per register are compared inside the join, so only plausible pairs leave
+   it), and the components are closed again.  No cap is set on buckets or partners.
 
 With 32 bands of 5 registers a pair at similarity 0.8 misses all buckets with a probability of 3e-6.
 
@@ -42,6 +43,7 @@ SALTS = 16
 SLACK = 14.0
 #: One bit per register: at similarity 0.8 about 16 of 160 bits differ, with a standard deviation of 3.8.
 MOST_BITS = 40
+PIVOT_ROUNDS = 3
 
 
 def _register_seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -239,11 +241,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     star = star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
     links = verified_links(star, classes, slim, k, percent)
     labels = components(links)
-    rest = hidden_pairs(members, pivots, labels, classes, percent)
+    for turn in range(PIVOT_ROUNDS):
+        open_rows = open_buckets(members, pivots, labels, classes)
+        pairs = pivot_pairs(open_rows, percent, turn)
+        dispose(open_rows)
+        if not pairs.limit(1).count():
+            break
+        more = verified_links(pairs, classes, slim, k, percent)
+        dispose(pairs)
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        labels = components(links)
+    open_rows = open_buckets(members, pivots, labels, classes)
+    rest = hidden_pairs(open_rows, percent)
     if rest.limit(1).count():
-        more = verified_links(rest, classes, slim, k, percent)
-        labels = components(links.union(more))
-    dispose(rest, members, shared)
+        labels = components(links.union(verified_links(rest, classes, slim, k, percent)))
+    dispose(open_rows, rest, members, shared)
     lowest = labels.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("low"))
     found = labels.join(lowest, "label").select(F.col("node").alias("linked"), "low")
     known = classes.select("node", "rep").join(found, F.col("node") == F.col("linked"), "left")
@@ -255,17 +269,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def hidden_pairs(members: DataFrame, pivots: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and of different components that no pivot stood for."""
+def open_buckets(members: DataFrame, pivots: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, node, n, label and register bits of the rows, other than the first pivot, of buckets with several components."""
     tagged = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"))
     several = several.where("x <> y AND c > 2").select("key")
-    open_rows = tagged.join(several, "key").join(pivots, "key").where("node <> pivot.node").select("key", "node", "n", "label")
+    rows = tagged.join(several, "key").join(pivots, "key").where("node <> pivot.node").select("key", "node", "n", "label")
     bits = classes.select("node", "sketch").mapInArrow(_low_bits, "node binary, w0 long, w1 long, w2 long")
-    open_rows = materialise(open_rows.join(bits, "node"), "near-open")
-    left = open_rows.select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", "w0", "w1", "w2")))
+    return materialise(rows.join(bits, "node"), "near-open")
+
+
+def _could_link(percent: int) -> str:
+    """Condition on a pair of open rows, the first with the prefix a_."""
     differ = " + ".join(f"bit_count(a_w{i} ^ w{i})" for i in range(3))
-    fits = f"a_node < node AND a_label <> label AND 100 * least(a_n, n) >= {percent} * greatest(a_n, n) AND {differ} <= {MOST_BITS}"
+    return f"a_label <> label AND 100 * least(a_n, n) >= {percent} * greatest(a_n, n) AND {differ} <= {MOST_BITS}"
+
+
+def pivot_pairs(open_rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of every row with one other pivot of its bucket, drawn anew by a hash in each turn.
+
+    Near copies of one source, about equally far from each other, share many buckets and so meet many different
+    pivots; a turn joins almost all of them, with as many pairs as rows.
+    """
+    fields = [F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", "w0", "w1", "w2")]
+    drawn = open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("h"), *fields)).alias("p"))
+    pairs = open_rows.join(drawn.select(F.col("key").alias("k"), "p.*"), (F.col("key") == F.col("k")) & F.expr(_could_link(percent)))
+    return materialise(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct(), "near-turn")
+
+
+def hidden_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different components that no pivot stood for."""
+    left = open_rows.select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", "w0", "w1", "w2")))
+    fits = f"a_node < node AND {_could_link(percent)}"
     pairs = left.join(open_rows.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.expr(fits))
     return materialise(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct(), "near-rest")
 
