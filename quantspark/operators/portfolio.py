@@ -75,15 +75,20 @@ def _fold(capital: float):
         run_id = rows["run_id"].iloc[0]
         book = Book(capital, MODELS[rows["cost_model"].iloc[0]])
         out: list[tuple] = []
-        for (window, _), day in rows.sort_values(["window_idx", "day", "ticker"]).groupby(["window_idx", "day"], sort=True):
-            date = day["date"].iloc[0]
-            known = day[day["ticker"].notna()]
-            prices = dict(zip(known["ticker"], known["price"], strict=True))
+        rows = rows.sort_values(["window_idx", "day", "ticker"])
+        columns = {c: rows[c].to_numpy() for c in ("window_idx", "day", "date", "trades")}
+        lists = [rows[c].tolist() for c in ("ticker", "price", "volume", "weight")]
+        new_day = (columns["window_idx"][1:] != columns["window_idx"][:-1]) | (columns["day"][1:] != columns["day"][:-1])
+        edges = [0, *(new_day.nonzero()[0] + 1).tolist(), len(rows)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            window, date = columns["window_idx"][low], columns["date"][low]
+            known = [r for r in zip(*(x[low:high] for x in lists), strict=True) if isinstance(r[0], str)]
+            prices = {t: price for t, price, _, _ in known}
             book.last |= prices
-            if day["trades"].iloc[0] and prices:
-                volumes = {t: v for t, v in zip(known["ticker"], known["volume"], strict=True) if not math.isnan(v)}
-                wanted = known[known["weight"].notna()]
-                for t, side, *numbers in book.rebalance(dict(zip(wanted["ticker"], wanted["weight"], strict=True)), prices, volumes):
+            if columns["trades"][low] and prices:
+                volumes = {t: v for t, _, v, _ in known if v is not None and not math.isnan(v)}
+                wanted = {t: w for t, _, _, w in known if w is not None and not math.isnan(w)}
+                for t, side, *numbers in book.rebalance(wanted, prices, volumes):
                     out.append((run_id, "trade", window, date, t, side, *numbers, None, None, None))
             worth = book.value()
             out.append((run_id, "equity", window, date, *[None] * 9, book.cash + worth, book.cash, worth))
