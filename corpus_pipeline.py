@@ -10,23 +10,43 @@ stay; an empty table passes through as an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspark.llm import langid, lines, mixing, near, packing
 from quantspark.llm.queries import documents, tokenizer_file
-from quantspark.llm.storage import materialise
+from quantspark.llm.storage import materialise, scope, sweep
 
 #: A document is rejected if less than this share of its letters, weighed by certainty, is in one language.
 LEAST_SCORE = 0.25
 
 
+SCOPE = "corpus pipeline"
+
+
+def _stage(f: Callable) -> Callable:
+    """A stage begins when its predecessor's result has been written, so that one's intermediate tables can go."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(SCOPE)
+        with scope(SCOPE):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; a missing lang is filled with the prediction."""
     found = langid.identify(docs).where((F.col("qs_lang") != "und") & (F.col("qs_score") >= LEAST_SCORE))
     return found.withColumn("lang", F.coalesce("lang", "qs_lang")).select(docs.columns)
 
 
+@_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = lines.dedup_lines(docs)
     if "n_chars" in docs.columns:
@@ -34,12 +54,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.select(docs.columns)
 
 
+@_stage
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
     kept = near.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("qs_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("qs_kept")), "left_semi").select(docs.columns)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it: once per epoch that takes at least half of its words."""
     pieces = mixing.mix(docs).pieces
@@ -51,6 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.select(docs.columns)
 
 
+@_stage
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 

@@ -13,11 +13,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+
+
+def _return_memory() -> None:
+    """Give large temporary arrays back to the system at once; workers live long, and their heaps would keep them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+_return_memory()
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 
 
 def _table(lower: bool) -> np.ndarray:

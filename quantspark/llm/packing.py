@@ -95,14 +95,14 @@ def pack_lengths(lengths: list[tuple[int, int, int]], capacity: int) -> Iterator
             counts[shortest - slack] += 1
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path, spaces=True)
         for whole in batches:
             for batch in kernel.slices(whole):
                 ids, counts = encoder.encode(batch.column("text"))
                 ends = np.cumsum(counts)
-                ids = np.insert(ids, ends, end_id).astype("<u4")
+                ids = np.insert(ids, ends, end_id).astype(f"<u{width}")
                 cuts = np.concatenate([[0], np.cumsum(counts + 1)])
                 parts = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(counts + 1), pa.array(parts, pa.binary())], ["key", "doc_id", "n", "ids"])
@@ -128,31 +128,36 @@ def _pack(window: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            pieces = batch.column("pieces")
-            row = np.repeat(np.arange(batch.num_rows), pieces.value_lengths().to_numpy())
-            flat = pieces.flatten()
-            ids = batch.column("ids")
-            start, length = flat.field("start").to_pylist(), flat.field("length").to_pylist()
-            parts = [ids[int(r)].as_buffer()[4 * s : 4 * (s + n)].to_pybytes() for r, s, n in zip(row, start, length, strict=True)]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), flat.field("start"), flat.field("length"), pa.array(parts, pa.binary()), batch.column("n").take(take), flat.field("sequence_id"), flat.field("offset")],
-                ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
+def _cut(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                pieces = batch.column("pieces")
+                row = np.repeat(np.arange(batch.num_rows), pieces.value_lengths().to_numpy())
+                flat = pieces.flatten()
+                ids = [np.frombuffer(x.as_buffer(), f"<u{width}") for x in batch.column("ids")]
+                start, length = flat.field("start").to_pylist(), flat.field("length").to_pylist()
+                parts = [ids[r][s : s + n].astype("<u4").tobytes() for r, s, n in zip(row.tolist(), start, length, strict=True)]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(take), flat.field("start"), flat.field("length"), pa.array(parts, pa.binary()), batch.column("n").take(take), flat.field("sequence_id"), flat.field("offset")],
+                    ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                )
+
+    return run
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, shard_docs: int = 8192) -> DataFrame:
     """doc_id, start, length, ids (unsigned 32-bit little-endian), doc_tokens, sequence_id, offset of every piece."""
     small_batches(docs.sparkSession)
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    tokens = materialise(keyed.mapInArrow(_tokenise(tokenizer, end_id), "key long, doc_id long, n long, ids binary"), "pack-tokens")
+    # ids of small vocabularies take two bytes on their way
+    width = 2 if max(Encoder.of(tokenizer, spaces=True).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    tokens = materialise(keyed.mapInArrow(_tokenise(tokenizer, end_id, width), "key long, doc_id long, n long, ids binary"), "pack-tokens")
     shards = max(1, tokens.count() // shard_docs)
     sized = tokens.select("key", "n", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     pieces = materialise(sized.groupBy("shard").applyInArrow(_pack(window), PIECE), "pack-pieces")
     places = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
     joined = tokens.join(places, "key").select("doc_id", "n", "ids", "pieces")
-    return joined.mapInArrow(_cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return joined.mapInArrow(_cut(width), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[str] = []
+_MADE: dict[str, list[DataFrame]] = {}
+
+
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables materialised inside belong to ``name`` and can be swept together."""
+    _SCOPES.append(name)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
+def sweep(name: str) -> None:
+    """Delete the tables of a scope; its results must have been written by now."""
+    dispose(*_MADE.pop(name, []))
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -46,6 +67,8 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
             spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quantspark_path = path  # noqa: SLF001
+    if _SCOPES:
+        _MADE.setdefault(_SCOPES[-1], []).append(out)
     return out
 
 
