@@ -6,8 +6,9 @@ log-probabilities, ``2**BITS`` rows however large the corpus.  The scripts that
 
 Prediction: the scripts of a word's letters narrow its candidate languages.  Every word gets a score per candidate, the
 mean n-gram log-likelihood ratio times a confidence that grows with its length.  Viterbi over the words, with a penalty
-for each switch, labels spans; the language with the most letters is the document's.  ``score`` is the share of letters
-in that language's spans times the mean posterior of these words.
+for each switch, labels spans.  A word's evidence for its label is its letters times how far its posterior is above an even
+guess, so words that any language could have count for nothing; the language with the most evidence is the document's,
+and ``score`` is its share of all evidence.
 
 All words of a batch are scored at once by numpy; Viterbi runs in lockstep over texts.  Texts longer than ``CHUNK`` words are
 labelled in chunks, whose spans are joined, so that one very long text does not become one very long loop.
@@ -179,11 +180,14 @@ def predict(column: pa.Array, model: Model) -> tuple[list[str], list[float], lis
     trust = np.zeros((len(counts), langs))
     np.add.at(weight, (owner, labels), letters)
     if len(labels):
-        np.add.at(trust, (owner, labels), letters * posterior[np.arange(len(labels)), labels])
+        even = 1 / langs
+        sure = posterior[np.arange(len(labels)), labels]
+        sure = np.maximum((sure - even) / (1 - even), 0) if langs > 1 else sure
+        np.add.at(trust, (owner, labels), letters * sure)
     all_letters = np.zeros(len(counts))
     raw, _ = _letters(words.data, words)
     np.add.at(all_letters, owner, raw)
-    best = weight.argmax(axis=1)
+    best = np.where(trust.any(axis=1), trust.argmax(axis=1), weight.argmax(axis=1))
     each = np.arange(len(counts))
     pred, score, spans = [], [], []
     for i in each.tolist():
@@ -195,7 +199,7 @@ def predict(column: pa.Array, model: Model) -> tuple[list[str], list[float], lis
             score.append(0.0)
         else:
             pred.append(model.langs[best[i]])
-            score.append(float(min(1.0, trust[i, best[i]] / all_letters[i])))
+            score.append(float(trust[i, best[i]] / max(trust[i].sum(), 1e-9)))
         mine = labels[words.ptr[i] : words.ptr[i + 1]]
         cuts = np.flatnonzero(np.diff(mine)) + 1
         edges = [0, *cuts.tolist(), len(mine)] if len(mine) and all_letters[i] else []
@@ -206,6 +210,8 @@ def predict(column: pa.Array, model: Model) -> tuple[list[str], list[float], lis
 def train(rows: list[tuple[str, str]]) -> Model:
     """Model of (lang, text) rows."""
     langs = tuple(sorted({lang for lang, _ in rows}))
+    if not langs:
+        return Model((), np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.uint32), 0)
     counts = np.zeros((1 << BITS, len(langs)))
     scripts = np.zeros(len(langs), dtype=np.uint32)
     for j, lang in enumerate(langs):
@@ -236,7 +242,12 @@ def fold(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     """At most ``per_lang`` labelled rows of each language whose fold is not 1, those with the smallest id hash."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 1)).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # a hash threshold per language first, at four times what is needed: the ranking then sees a bounded number of rows
+    counts = own.groupBy("lang").agg(F.count("*").alias("c"))
+    counts = counts.select("lang", (F.lit(4.0 * per_lang) / F.col("c")).alias("share"))
+    place = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) + 1) / float(1 << 20)
+    own = own.join(counts, "lang").where(place <= F.col("share")).select("doc_id", "lang")
+    order = Window.partitionBy("lang").orderBy(place, F.xxhash64("doc_id"), "doc_id")
     ids = own.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("doc_id").distinct()
     # per_lang ids of each language, whatever the number of documents
     texts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
