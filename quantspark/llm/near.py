@@ -9,10 +9,11 @@ r"""Near-duplicate detection with SetSketch registers.
 4. The similarity of a pair is estimated jointly from both sketches by maximum likelihood (with the known set sizes);
    a pair goes on unless the likelihood of every similarity at the threshold or above is lower by ``slack`` nats.
 5. Pairs that go on are verified on their full sets.  Verified links are closed into components.
-6. Buckets that still hold several components may hide links that no pivot saw.  A few turns with other pivots join
-   most of them, again with as many pairs as rows.  All pairs that then remain between different components of a bucket
-   are tried as well (size ratio and one bit per register are compared inside the join, so only plausible pairs leave
-   it), and the components are closed again.  No cap is set on buckets or partners.
+6. Buckets that still hold several components may hide links that no pivot saw.  Classes with too many shingles of
+   their own are ruled out, and so are pairs, by exact bounds from the first pivot's shingles; second pivots, different in every bucket, join most others, again with as
+   many pairs as rows.  All pairs that then remain between different components of a bucket are tried as well (exact
+   size bounds and one bit per register are compared inside the join, so only plausible pairs leave it), and the
+   components are closed again.  No cap is set on buckets or partners.
 
 With 32 bands of 5 registers a pair at similarity 0.8 misses all buckets with a probability of 3e-6.
 
@@ -43,7 +44,6 @@ SALTS = 16
 SLACK = 14.0
 #: One bit per register: at similarity 0.8 about 16 of 160 bits differ, with a standard deviation of 3.8.
 MOST_BITS = 40
-PIVOT_ROUNDS = 3
 
 
 def _register_seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -160,27 +160,34 @@ def _sets(k: int):
     return run
 
 
+CHECKED = "a binary, b binary, linked boolean, inside array<long>"
+
+
 def _verify(percent: int):
+    """Whether a partner is linked with its pivot, and which of the pivot's shingles, in their order, it has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, None
         for batch in batches:
-            links = []
+            out = []
             for a, b, values in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("values"), strict=True):
                 got = np.frombuffer(values.as_buffer(), np.uint64)
                 if b is None:
                     current, held = a, got.copy()
                     continue
                 assert current == a, "the pivot's set comes first"
-                common = len(np.intersect1d(held, got, assume_unique=True))
-                if 100 * common >= percent * (len(held) + len(got) - common):
-                    links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+                has = np.isin(held, got, assume_unique=True)
+                common = int(has.sum())
+                bits = np.packbits(np.pad(has, (0, -len(has) % 64))).view(np.int64)
+                out.append((a, b, 100 * common >= percent * (len(held) + len(got) - common), bits))
+            kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["a", "b", "linked", "inside"])
 
     return run
 
 
-def verified_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among candidate pairs (a, b): likelihood first, then the full sets.
+def checked_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) that their sketches leave plausible, with ``linked`` and ``inside`` from their full sets.
 
     A pivot's set is sent once to each of its ``SALTS`` parts and compared with the partners there, so that neither a
     frequent pivot's partners nor their sets meet in one task.
@@ -197,9 +204,9 @@ def verified_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int
     pivots = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a")
     pivots = pivots.select("a", "salt", F.lit(None).cast("binary").alias("b"), "values")
     placed = pivots.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    links = materialise(placed.select("a", "b", "values").mapInArrow(_verify(percent), "a binary, b binary").distinct(), "near-links")
+    checked = materialise(placed.select("a", "b", "values").mapInArrow(_verify(percent), CHECKED), "near-checked")
     dispose(going, sets)
-    return links
+    return checked
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,6 +239,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sketched = materialise(slim.mapInArrow(_sketch(k), "rid long, n long, node binary, sketch binary"), "near-sketches")
     grouped = sketched.where("n > 0").groupBy("node")
     classes = materialise(grouped.agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
+    # the last step needs no sketches
+    slim_rows = materialise(sketched.select("rid", "n", "node"), "near-rows")
+    dispose(sketched)
     bands = classes.mapInArrow(_bands, "key long, rep long, node binary, n long")
     shared = materialise(bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-keys")
     members = materialise(bands.join(shared, "key"), "near-members")
@@ -239,67 +249,117 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     fits = f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)"
     star = members.join(pivots, "key").where("node <> pivot.node").where(fits)
     star = star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified_links(star, classes, slim, k, percent)
+    checked = checked_pairs(star, classes, slim, k, percent)
+    links = checked.where("linked").select("a", "b")
     labels = components(links)
-    for turn in range(PIVOT_ROUNDS):
-        open_rows = open_buckets(members, pivots, labels, classes)
-        pairs = pivot_pairs(open_rows, percent, turn)
-        dispose(open_rows)
-        if not pairs.limit(1).count():
-            break
-        more = verified_links(pairs, classes, slim, k, percent)
-        dispose(pairs)
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
-        labels = components(links)
-    open_rows = open_buckets(members, pivots, labels, classes)
-    rest = hidden_pairs(open_rows, percent)
-    if rest.limit(1).count():
-        labels = components(links.union(verified_links(rest, classes, slim, k, percent)))
-    dispose(open_rows, rest, members, shared)
+    open_rows = open_buckets(members, pivots, labels, classes, checked)
+    if open_rows.limit(1).count():
+        unique = unique_shingles(open_rows, classes, slim, k)
+        open_rows = promising(open_rows, unique, percent)
+        pairs = pivot_pairs(open_rows, percent)
+        if pairs.limit(1).count():
+            links = links.union(checked_pairs(pairs, classes, slim, k, percent).where("linked").select("a", "b"))
+            labels = components(links)
+            open_rows = promising(open_buckets(members, pivots, labels, classes, checked), unique, percent)
+        rest = hidden_pairs(open_rows, percent)
+        if rest.limit(1).count():
+            labels = components(links.union(checked_pairs(rest, classes, slim, k, percent).where("linked").select("a", "b")))
+        dispose(pairs, rest, unique)
+    dispose(open_rows, members, shared)
     lowest = labels.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("low"))
     found = labels.join(lowest, "label").select(F.col("node").alias("linked"), "low")
     known = classes.select("node", "rep").join(found, F.col("node") == F.col("linked"), "left")
     known = materialise(known.select("node", F.coalesce("low", "rep").alias("low")), "near-components")
-    rows = sketched.select("rid", "n", "node").join(known, "node", "left")
+    dispose(classes)
+    rows = slim_rows.join(known, "node", "left")
     rows = rows.withColumn("doc_id", F.when(F.col("rid") != NO_ID, F.col("rid")))
     low = F.coalesce("low", "rid")
     component = F.when(low != NO_ID, low)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def open_buckets(members: DataFrame, pivots: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, node, n, label and register bits of the rows, other than the first pivot, of buckets with several components."""
+def open_buckets(members: DataFrame, pivots: DataFrame, labels: DataFrame, classes: DataFrame, checked: DataFrame) -> DataFrame:
+    """Rows, other than the first pivot, of buckets with several components.
+
+    key, node, n, label, register bits, ``ref`` (the first pivot) and ``inside`` (which of its shingles the class has, if
+    that pair was checked).
+    """
     tagged = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"))
     several = several.where("x <> y AND c > 2").select("key")
-    rows = tagged.join(several, "key").join(pivots, "key").where("node <> pivot.node").select("key", "node", "n", "label")
+    rows = tagged.join(several, "key").join(pivots, "key").where("node <> pivot.node").select("key", "node", "n", "label", F.col("pivot.node").alias("ref"))
+    rows = rows.join(checked.select(F.col("a").alias("ref"), F.col("b").alias("node"), "inside"), ["ref", "node"], "left")
     bits = classes.select("node", "sketch").mapInArrow(_low_bits, "node binary, w0 long, w1 long, w2 long")
     return materialise(rows.join(bits, "node"), "near-open")
 
 
+def _explode(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in kernel.slices(whole):
+                sets = shingle_sets(batch.column("text"), k)
+                nodes = pa.array([digest(s) for s in sets], pa.binary())
+                row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), nodes.take(pa.array(row))], ["shingle", "node"])
+
+    return run
+
+
+def unique_shingles(open_rows: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, u: how many shingles of an open class no other open class and no first pivot has."""
+    reps = open_rows.select("node").union(open_rows.select("ref")).distinct().join(classes, "node").select(F.col("rep").alias("rid"))
+    texts = docs.join(reps, "rid", "left_semi").select("text")
+    seen = texts.mapInArrow(_explode(k), "shingle long, node binary").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    return materialise(seen.where("c = 1").groupBy("node").agg(F.count("*").alias("u")), "near-unique")
+
+
+def promising(open_rows: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
+    """Open rows, with ``own`` = n - u, that can still link: what a class has for itself it shares with no partner.
+
+    A pair's intersection is at most the smaller ``own``; so a class with more unique shingles than the threshold allows
+    can be left out without losing a link.  Copies with many changes end here, in time linear in their texts.
+    """
+    rows = open_rows.join(unique, "node", "left").withColumn("own", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    had = F.aggregate(F.transform("inside", lambda w: F.bit_count(w)), F.lit(0), lambda s, x: s + x)
+    rows = rows.where(f"100 * own >= {percent} * n").withColumn("outside", F.col("own") - had)
+    several = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    out = materialise(rows.join(several, "key", "left_semi"), "near-open")
+    dispose(open_rows)
+    return out
+
+
+FIELDS = ("node", "n", "own", "label", "w0", "w1", "w2", "inside", "outside")
+
+
 def _could_link(percent: int) -> str:
-    """Condition on a pair of open rows, the first with the prefix a_."""
+    """Condition on a pair of open rows of one bucket, the first with the prefix a_: all bounds but the bits are exact.
+
+    Two classes share of their pivot's shingles what both have; outside, at most what the one with less has besides its
+    unique shingles.  For copies of one source this bound almost is their intersection.
+    """
     differ = " + ".join(f"bit_count(a_w{i} ^ w{i})" for i in range(3))
-    return f"a_label <> label AND 100 * least(a_n, n) >= {percent} * greatest(a_n, n) AND {differ} <= {MOST_BITS}"
+    most = f"100 * least(a_own, own) >= {percent} * (a_n + n - least(a_own, own))"
+    both = "aggregate(zip_with(a_inside, inside, (p, q) -> bit_count(p & q)), 0, (s, x) -> s + x) + least(a_outside, outside)"
+    shared = f"a_inside IS NULL OR inside IS NULL OR {100 + percent} * ({both}) >= {percent} * (a_n + n)"
+    return f"a_label <> label AND {most} AND 100 * least(a_n, n) >= {percent} * greatest(a_n, n) AND {differ} <= {MOST_BITS} AND ({shared})"
 
 
-def pivot_pairs(open_rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of every row with one other pivot of its bucket, drawn anew by a hash in each turn.
+def pivot_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of every row with one other pivot of its bucket, drawn by a hash of the bucket and the class.
 
     Near copies of one source, about equally far from each other, share many buckets and so meet many different
-    pivots; a turn joins almost all of them, with as many pairs as rows.
+    pivots: this joins almost all of them, with as many pairs as rows.
     """
-    fields = [F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", "w0", "w1", "w2")]
-    drawn = open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("h"), *fields)).alias("p"))
+    fields = [F.col(c).alias(f"a_{c}") for c in FIELDS]
+    drawn = open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), *fields)).alias("p"))
     pairs = open_rows.join(drawn.select(F.col("key").alias("k"), "p.*"), (F.col("key") == F.col("k")) & F.expr(_could_link(percent)))
     return materialise(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct(), "near-turn")
 
 
 def hidden_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket and of different components that no pivot stood for."""
-    left = open_rows.select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", "w0", "w1", "w2")))
+    left = open_rows.select("key", *(F.col(c).alias(f"a_{c}") for c in FIELDS))
     fits = f"a_node < node AND {_could_link(percent)}"
     pairs = left.join(open_rows.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.expr(fits))
     return materialise(pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct(), "near-rest")
