@@ -25,6 +25,7 @@ that repeat a doc_id are not compared with one another; an empty table gives an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,20 @@ from .storage import dispose, materialise, small_batches
 
 NO_ID = 9223372036854775807
 WIDTH, GRAM = 13, 5
-SHARD_WORDS = 200_000
-PART_DOCS = 2000
+#: Letters are limited to 12,288 of each alphabet, so a shard may have 1.5e8 different words.
+SHARD_WORDS = 50_000
+PART_DOCS = 4000
+
+
+def _lowest(hashes: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """For every word, the smallest hash among the phrases of ``gram`` words inside the ``width`` words from there."""
+    low, _, _ = kernel.windows(hashes, np.array([0, len(hashes)]), gram)
+    span, reach = width - gram + 1, 1
+    while reach < span:  # minimum over ever longer runs of phrases
+        step = min(reach, span - reach)
+        low = np.minimum(low[:-step], low[step:])
+        reach += step
+    return low
 
 
 def window_seeds(column: pa.Array, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, kernel.Words, np.ndarray]:
@@ -46,26 +59,29 @@ def window_seeds(column: pa.Array, width: int, gram: int) -> tuple[np.ndarray, n
     words = kernel.words_of(column)
     hashes = words.hashes()
     found, rows, at = kernel.windows(hashes, words.ptr, width)
-    if not len(found):
-        return found, found, rows, words, at
-    grams, _, _ = kernel.windows(hashes, np.array([0, len(hashes)]), gram)
-    span = width - gram + 1
-    low, reach = grams, 1
-    while reach < span:  # minimum over ever longer runs of phrases
-        step = min(reach, span - reach)
-        low = np.minimum(low[:-step], low[step:])
-        reach += step
-    return found, low[at], rows, words, at
+    seeds = _lowest(hashes, width, gram)[at] if len(found) else found
+    return found, seeds, rows, words, at
+
+
+def text_seeds(column: pa.Array, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, row) of every window; of equal seeds one after another only the first."""
+    words = kernel.words_of(column)
+    hashes = words.hashes()
+    if len(hashes) < width:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    seeds = _lowest(hashes, width, gram)
+    rows = words.row()[: len(seeds)]
+    keep = np.arange(len(seeds)) + width <= words.ptr[1:][rows]
+    keep[1:] &= (seeds[1:] != seeds[:-1]) | (rows[1:] != rows[:-1])
+    return seeds[keep], rows[keep]
 
 
 def _seeds(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in kernel.slices(whole):
-                _, seeds, rows, _, _ = window_seeds(batch.column("text"), width, gram)
-                keep = np.ones(len(seeds), bool)
-                keep[1:] = (seeds[1:] != seeds[:-1]) | (rows[1:] != rows[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(seeds[keep].view(np.int64)), batch.column("rid").take(pa.array(rows[keep]))], ["seed", "rid"])
+                seeds, rows = text_seeds(batch.column("text"), width, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), batch.column("rid").take(pa.array(rows))], ["seed", "rid"])
 
     return run
 
@@ -115,51 +131,46 @@ def _passages(width: int, gram: int):
 
 
 class PhraseAutomaton:
-    """Aho-Corasick automaton over word numbers for the anchors of many passages."""
+    """Aho-Corasick automaton whose patterns are the windows of many passages.
+
+    Words are numbered, and a number is written with two letters from different alphabets of about the root of the count
+    of words: a node then has few children, which the library searches one by one, and no match starts inside a word.
+    """
 
     def __init__(self, passages: list[tuple[int, bytes]], width: int) -> None:
         import ahocorasick
 
-        self.width, step = width, (width + 1) // 2
-        self.numbers: dict[bytes, int] = {}
-        self.lines: list[tuple[int, list[int]]] = []
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for origin, text in passages:
-            for line in text.split(b"\n"):
-                numbers = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in line.split()]
-                for a in range(0, len(numbers) - step + 1, step):
-                    places.setdefault(tuple(numbers[a : a + step]), []).append((len(self.lines), a))
-                self.lines.append((origin, numbers))
-        self.step, self.places = step, list(places.values())
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, anchor in enumerate(places):
-            self.automaton.add_word(anchor, i)
-        if places:
+        self.width = width
+        lines = [(origin, line.split()) for origin, text in passages for line in text.split(b"\n")]
+        known = list(dict.fromkeys(w for _, line in lines for w in line))
+        base = math.isqrt(len(known)) + 1
+        self.letters = {w: chr(0x3000 + i // base) + chr(0x6000 + i % base) for i, w in enumerate(known)}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for origin, line in lines:
+            text = "".join([self.letters[w] for w in line])
+            for a in range(0, len(text) - 2 * width + 1, 2):
+                self.automaton.add_word(text[a : a + 2 * width], origin)
+        self.ready = len(self.automaton) > 0
+        if self.ready:
             self.automaton.make_automaton()
 
     def occurrences(self, rid: int, text: bytes) -> list[tuple[int, int]]:
-        """Word ranges of ``text`` that repeat ``width`` or more words of a passage from a document before ``rid``."""
-        get = self.numbers.get
-        words = [get(w, 0) for w in text.split()]
-        if not self.places or len(words) < self.width:
-            return []
-        done: dict[tuple[int, int], int] = {}
-        out = []
-        for end, found in self.automaton.iter(tuple(words)):
-            d = end - self.step + 1
-            for line, a in self.places[found]:
-                origin, numbers = self.lines[line]
-                if origin >= rid or done.get((line, d - a), -1) > d:
-                    continue
-                low, i, j = d, a - 1, d - 1
-                while i >= 0 and j >= 0 and numbers[i] == words[j]:
-                    low, i, j = j, i - 1, j - 1
-                i, j = a + self.step, end + 1
-                while i < len(numbers) and j < len(words) and numbers[i] == words[j]:
-                    i, j = i + 1, j + 1
-                done[line, d - a] = j
-                if j - low >= self.width:
-                    out.append((low, j))
+        """Word ranges of ``text`` covered by windows from documents before ``rid``, overlapping ones merged."""
+        out: list[tuple[int, int]] = []
+        if not self.ready:
+            return out
+        get = self.letters.get
+        low = high = -1
+        for last, origin in self.automaton.iter("".join([get(w, "  ") for w in text.split()])):
+            if origin < rid:
+                end = last >> 1
+                if end - self.width >= high:
+                    if high >= 0:
+                        out.append((low, high))
+                    low = end - self.width + 1
+                high = end + 1
+        if high >= 0:
+            out.append((low, high))
         return out
 
 
@@ -205,22 +216,23 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """rid, th, low, high: word ranges of ``docs`` (rid, th, text) that repeat a passage of a smaller document."""
-    seeds = docs.select("rid", "text").mapInArrow(_seeds(width, gram), "seed long, rid long")
+    seeds = materialise(docs.select("rid", "text").mapInArrow(_seeds(width, gram), "seed long, rid long"), "phrase-all-seeds")
     recurring = seeds.groupBy("seed").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x < y").select("seed")
     recurring = materialise(recurring, "phrase-seeds")
     hits = seeds.join(recurring, "seed").groupBy("rid").agg(F.collect_set("seed").alias("seeds"))
     texts = materialise(docs.join(hits, "rid"), "phrase-texts")
+    dispose(seeds, recurring)
     windows = materialise(texts.select("rid", "text", "seeds").mapInArrow(_candidates(width, gram), "window long, rid long"), "phrase-windows")
     confirmed = windows.groupBy("window").agg(F.min("rid").alias("origin"), F.max("rid").alias("y")).where("origin < y").select("window", "origin")
-    marks = windows.join(materialise(confirmed, "phrase-confirmed"), "window")
-    marks = materialise(marks.groupBy("rid", "origin").agg(F.when(F.col("rid") == F.col("origin"), F.collect_list("window")).alias("own")), "phrase-marks")
-    dispose(recurring, windows)
-    own = marks.where("rid = origin").select("rid", "own")
+    confirmed = materialise(confirmed, "phrase-confirmed")
+    own = confirmed.groupBy(F.col("origin").alias("rid")).agg(F.collect_list("window").alias("own"))
     passages = texts.select("rid", "text").join(own, "rid").mapInArrow(_passages(width, gram), "rid long, text string, n_words long")
     passages = materialise(passages, "phrase-passages")
     total = passages.agg(F.sum("n_words")).first()[0] or 0
-    shard = F.pmod(F.xxhash64(F.lit(3), "rid"), F.lit(max(1, total // SHARD_WORDS + 1)))
-    routes = marks.where("rid > origin").select("rid", F.pmod(F.xxhash64(F.lit(3), F.col("origin")), F.lit(max(1, total // SHARD_WORDS + 1))).alias("shard")).distinct()
+    shards = F.lit(int(total // SHARD_WORDS + 1))
+    shard = F.pmod(F.xxhash64(F.lit(3), F.col("rid")), shards)
+    home = F.pmod(F.xxhash64(F.lit(3), F.col("origin")), shards)
+    routes = materialise(windows.join(confirmed, "window").where("rid > origin").select("rid", home.alias("shard")).distinct(), "phrase-routes")
     loads = routes.groupBy("shard").agg(F.ceil(F.count("*") / PART_DOCS).cast("int").alias("parts"))
     automata = passages.where("n_words > 0").withColumn("shard", shard).join(loads, "shard")
     automata = automata.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "rid", F.lit(0).cast("long").alias("th"), "text")
@@ -228,7 +240,7 @@ def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
     readers = readers.select("shard", F.pmod(F.xxhash64("rid", "th"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "rid", "th", "text")
     placed = automata.unionByName(readers).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
     found = materialise(placed.mapInArrow(_stream(width), "rid long, th long, low long, high long"), "phrase-found")
-    dispose(texts, marks, passages)
+    dispose(texts, windows, confirmed, routes, passages)
     return found
 
 
