@@ -21,7 +21,8 @@ import pyarrow as pa
 from . import kernel
 
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 800_000
+TABLE_BITS = 21
 _RAW_TABLE = kernel._TABLES[False].copy()  # noqa: SLF001
 _RAW_TABLE[kernel.SPACE] = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -54,12 +55,39 @@ class Encoder:
         return cls._held[path, spaces]
 
     def _clear(self) -> None:
-        self.known = np.empty(0, np.uint64)
+        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)  # open addressing; 0 is free
+        self.index = np.zeros(1 << TABLE_BITS, np.int32)
         self.starts = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
         self.odd = np.empty(0, bool)
         self.ids = np.empty(0, np.uint32)
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each known unit, -1 for the others."""
+        place = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        found = self.keys[place]
+        out = np.where(found == hashes, self.index[place], -1)
+        left = np.flatnonzero((found != hashes) & (found != 0))
+        while len(left):
+            place[left] = (place[left] + 1) & ((1 << TABLE_BITS) - 1)
+            found = self.keys[place[left]]
+            same = found == hashes[left]
+            out[left[same]] = self.index[place[left[same]]]
+            left = left[~same & (found != 0)]
+        return out
+
+    def _insert(self, hashes: np.ndarray, first: int) -> None:
+        """Number new, different hashes from ``first`` on."""
+        place = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = self.keys[place[left]] == 0
+            self.keys[place[left[free]]] = hashes[left[free]]  # of several for one place the last stays
+            mine = free & (self.keys[place[left]] == hashes[left])
+            self.index[place[left[mine]]] = first + left[mine]
+            left = left[~mine]
+            place[left] = (place[left] + 1) & ((1 << TABLE_BITS) - 1)
+
     def _units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, start, end, units before each row)."""
         words = kernel.words_of(column)
@@ -84,30 +112,28 @@ class Encoder:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((x for one in found for x in one), np.uint32, int(counts.sum()))
         odd = np.fromiter((self.spaces and ODD_SPACE.search(t) is not None for t in texts), bool, len(texts))
+        self._insert(hashes, len(self.starts))
         starts = len(self.ids) + np.cumsum(counts) - counts
-        place = np.searchsorted(self.known, hashes)  # both are sorted
-        for name, new in (("known", hashes), ("starts", starts), ("counts", counts), ("odd", odd)):
-            setattr(self, name, np.insert(getattr(self, name), place, new))
+        for name, new in (("starts", starts), ("counts", counts), ("odd", odd)):
+            setattr(self, name, np.concatenate([getattr(self, name), new]))
         self.ids = np.concatenate([self.ids, ids])
 
-    def _unknown(self, distinct: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.ones(len(distinct), bool)
-        place = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-        return self.known[place] != distinct
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, ids per row); null counts as empty."""
         data, start, end, ptr = self._units(column)
         hashes = kernel.span_hashes(data, start, end, table=_RAW_TABLE if self.spaces else None)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        new = self._unknown(distinct)
-        if len(self.known) + int(new.sum()) > CACHE_UNITS and len(self.known):
-            self._clear()
-            new[:] = True
-        if new.any():
-            self._learn(distinct[new], data, start[first[new]], end[first[new]])
-        place = np.searchsorted(self.known, distinct)[inverse]
+        hashes[hashes == 0] = 1
+        place = self._find(hashes)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            if len(self.starts) + len(new) > CACHE_UNITS and len(self.starts):
+                self._clear()
+                new, first = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+            first = missing[first]
+            self._learn(new, data, start[first], end[first])
+            place[missing] = self._find(hashes[missing])
         ids = ragged(self.ids, self.starts, self.counts, place)
         sums = np.concatenate([[0], np.cumsum(self.counts[place])])
         counts = np.diff(sums[ptr])
