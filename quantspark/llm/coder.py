@@ -2,17 +2,19 @@ r"""Token-id files: an adaptive context-mixing range coder over independently re
 
 Model of a block (everything starts afresh in each block):
 
-* order 2: the id that last followed the two previous ids, with a confidence count;
-* order 1: the id that last followed the previous id, with a confidence count;
-* order 0: adaptive frequencies of the id's hexadecimal digits, each under the digits before it (first three digits).
+* order 2: the id that last followed the two previous ids, with a confidence;
+* order 1: the id that last followed the previous id, with a confidence;
+* order 0: adaptive frequencies of the id's upper bits; its lower bits are coded as they are.
 
 The class of an id (0: order 2 predicts it, 1: order 1 does, 2: neither) has three experts: one knows nothing, one
 the confidence of order 1, one the confidence of order 2 and whether both agree.  Their adaptive distributions are mixed
-linearly, with weights that follow each expert's past success in the block.  Ids of class 2 are coded by digits.
+linearly, with weights that follow the probability each expert gave to what came.  Ids of class 2 are coded by order 0.
+Predictions, mixture and weights learn after every ``SEGMENT`` ids, order 0 after every ``REFRESH``.
 
-The coder is a carry-less range coder with a 64-bit interval that emits 32-bit words.  Blocks share no state, so numpy
-codes up to ``LANES`` blocks in lockstep: step t handles id t of every block.  Only IEEE additions, multiplications and
-divisions in a fixed order enter the probabilities, so decoders agree everywhere.
+The coder is a carry-less range coder with a 64-bit interval that emits 32-bit words whenever the interval is shorter than
+2**32.  Blocks share no state, so numpy codes up to ``LANES`` blocks in lockstep, and an encoder, who knows all ids,
+plans a segment of all blocks at once.  Only IEEE additions, multiplications and divisions in a fixed order enter the
+probabilities, so decoders agree everywhere.
 
 A frame is ``magic, version, kind, count, crc32 of the decoded bytes, payload``.  Index frames hold doc ids and token
 counts, block frames hold ids.  A reader checks every frame's CRC and raises on a mismatch.
@@ -26,196 +28,224 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 2048
-LANES = 2048
+LANES = 1024
+SEGMENT, REFRESH = 128, 256
 MAGIC = b"QSTB"
 INDEX, BLOCK = 0, 1
 _HEAD = struct.Struct("<4sBBxxII")
-_SLOTS = 2048
-_BITS = 15
-_TOTAL = 1 << _BITS
-_ADAPTIVE_DIGITS = 3
+_SLOTS = 512
+_CLASS_BITS, _LITERAL_BITS = 15, 11
 _U = np.uint64
-_UNIFORM = np.arange(17, dtype=np.int32) * (_TOTAL // 16)
-#: Target distributions of the digit models: digit d gets all but a floor of 1/512 for each other digit.
-_FLOOR = _TOTAL // 512
-_TARGETS = np.stack([np.concatenate([[0], np.cumsum(np.where(np.arange(16) == d, _TOTAL - 15 * _FLOOR, _FLOOR))]) for d in range(16)]).astype(np.int32)
+_WORD = _U(32)
+_LOW = _U(0xFFFFFFFF)
+_FULL = _U(1 << 32)
+_CONTEXTS = np.arange(32)  # two bits of order-2 confidence, two of order-1 confidence, one whether both agree
+_OF_1, _OF_2 = _CONTEXTS >> 1 & 3, (_CONTEXTS >> 3) * 2 + (_CONTEXTS & 1)
 
 
 class _Model:
-    def __init__(self, lanes: int, digits: int) -> None:
-        self.lanes = np.arange(lanes)
-        self.digits = digits
-        self.t1, self.t2 = (np.zeros((lanes, _SLOTS), np.int32) for _ in range(2))
-        self.n1, self.n2 = (np.zeros((lanes, _SLOTS), np.uint8) for _ in range(2))
-        third = 1 / 3
-        self.e0, self.e1, self.e2 = (np.full((lanes, n, 3), third) for n in (1, 8, 16))
-        self.w = np.full((lanes, 3), third)
-        self.tables = [np.broadcast_to(_UNIFORM, (lanes, 16**k, 17)).copy() for k in range(min(digits, _ADAPTIVE_DIGITS))]
+    """State of many blocks.  Tables are flat, a lane's part after another's; entries are id * 4 + confidence."""
+
+    def __init__(self, lanes: int, shift: int) -> None:
+        self.lanes, self.shift = lanes, shift
+        lane = np.arange(lanes)
+        self.at_slot, self.at_context, self.at_digit, self.at_inverse = lane * _SLOTS, lane * 32, lane * 257, lane << _LITERAL_BITS
+        self.lane = lane
+        self.t1, self.t2 = (np.zeros(lanes * _SLOTS, np.int32) for _ in range(2))
+        self.n1, self.n2 = np.zeros((lanes, 4, 3)), np.zeros((lanes, 8, 3))
+        self.score = np.ones((lanes, 3))
+        self.seen = np.zeros((lanes, 256))
         self.prev1, self.prev2 = (np.zeros(lanes, np.int64) for _ in range(2))
-
-    def predict(self) -> None:
-        """Predicted ids and the mixed class distribution, as frequencies out of 2**15."""
-        lanes = self.lanes
-        self.c1 = (self.prev1 * 40503 >> 4) % _SLOTS
-        self.c2 = ((self.prev1 * 40503 + self.prev2 * 10007) >> 3) % _SLOTS
-        self.p1, self.p2 = self.t1[lanes, self.c1], self.t2[lanes, self.c2]
-        self.k1, self.k2 = self.n1[lanes, self.c1], self.n2[lanes, self.c2]
-        self.agree = self.p1 == self.p2
-        self.s2 = self.k2 * 2 + self.agree
-        a, b, c = self.e0[:, 0], self.e1[lanes, self.k1], self.e2[lanes, self.s2]
-        self.parts = (a, b, c)
-        p = (a * self.w[:, 0:1] + b * self.w[:, 1:2]) + c * self.w[:, 2:3]
-        f = (p[:, :2] * (_TOTAL - 3)).astype(np.int64) + 1
-        self.f0, self.f1 = f[:, 0], f[:, 1]
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        lanes = self.lanes
-        a, b, c = self.parts
-        seen = np.stack([a[lanes, kind], b[lanes, kind], c[lanes, kind]], axis=1)
-        w = self.w * seen + 0.002
-        self.w = w / ((w[:, 0] + w[:, 1]) + w[:, 2])[:, None]
-        hot = np.zeros((len(lanes), 3))
-        hot[lanes, kind] = 1.0
-        self.e0[:, 0] = a + (hot - a) * 0.03125
-        self.e1[lanes, self.k1] = b + (hot - b) * 0.0625
-        self.e2[lanes, self.s2] = c + (hot - c) * 0.0625
-        for table, conf, place, guess, k in ((self.t1, self.n1, self.c1, self.p1, self.k1), (self.t2, self.n2, self.c2, self.p2, self.k2)):
-            hit = guess == ids
-            conf[lanes, place] = np.where(hit, np.minimum(k + 1, 7), 0)
-            table[lanes, place] = ids
-        self.prev2, self.prev1 = self.prev1, ids.astype(np.int64)
-
-    def digit_rows(self, level: int, who: np.ndarray, context: np.ndarray) -> np.ndarray:
-        if level < len(self.tables):
-            return self.tables[level][who, context]
-        return np.broadcast_to(_UNIFORM, (len(who), 17))
-
-    def learn_digit(self, level: int, who: np.ndarray, context: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
-        if level < len(self.tables):
-            self.tables[level][who, context] = rows + ((_TARGETS[digit] - rows) >> 4)
+        self.steps = 0
+        self._mix()
+        self._order0()
+
+    def _mix(self) -> None:
+        n0 = self.n1.sum(axis=1)
+        self.p0, self.p1, self.p2 = ((n + 0.4) / (n.sum(axis=-1, keepdims=True) + 1.2) for n in (n0, self.n1, self.n2))
+        w = self.score * self.score
+        w /= w.sum(axis=1, keepdims=True)
+        p = self.p0[:, None, :2] * w[:, 0, None, None] + self.p1[:, _OF_1, :2] * w[:, 1, None, None] + self.p2[:, _OF_2, :2] * w[:, 2, None, None]
+        f = (p * ((1 << _CLASS_BITS) - 3)).astype(np.int64) + 1
+        self.b0 = f[:, :, 0].astype(_U).ravel()
+        self.b1 = (f[:, :, 0] + f[:, :, 1]).astype(_U).ravel()
+
+    def _order0(self) -> None:
+        total = np.maximum(self.seen.sum(axis=1, keepdims=True), 1.0)
+        f = (self.seen * (((1 << _LITERAL_BITS) - 256) / total)).astype(np.int64) + 1
+        f[:, 0] += (1 << _LITERAL_BITS) - f.sum(axis=1)
+        cum = np.zeros((self.lanes, 257), np.int64)
+        np.cumsum(f, axis=1, out=cum[:, 1:])
+        self.cum, self.freq, self.inverse = cum.ravel(), f.ravel(), None
+
+    def digit_at(self, target: np.ndarray) -> np.ndarray:
+        """The upper bits whose share of the order-0 line each target lies in."""
+        if self.inverse is None:
+            self.inverse = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.lanes), self.freq)
+        return self.inverse.take(self.at_inverse + target).astype(np.int64)
+
+    def look(self, prev1: np.ndarray, prev2: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(slot 1, slot 2, entry 1, entry 2, context) after the given ids; lanes are the last axis."""
+        s1 = self.at_slot + (prev1 * 40503 >> 5 & _SLOTS - 1)
+        s2 = self.at_slot + (prev1 * 40503 + prev2 * 30011 >> 4 & _SLOTS - 1)
+        e1, e2 = self.t1.take(s1), self.t2.take(s2)
+        context = (e2 & 3) << 3 | (e1 & 3) << 1 | (e1 >> 2 == e2 >> 2)
+        return s1, s2, e1, e2, context
+
+    def learn(self, ids: np.ndarray, kind: np.ndarray, looked: tuple[np.ndarray, ...]) -> None:
+        """Take in a segment: rows are steps, columns lanes."""
+        s1, s2, e1, e2, context = looked
+        for table, slot, entry in ((self.t1, s1, e1), (self.t2, s2, e2)):
+            sure = np.where(entry >> 2 == ids, np.minimum((entry & 3) + 1, 3), 0)
+            table[slot.ravel()] = ((ids << 2) | sure).ravel().astype(np.int32)  # of equal slots the last step counts
+        place = (self.at_context + context) * 3 + kind
+        seen = np.bincount(place.ravel(), minlength=self.lanes * 96).reshape(self.lanes, 32, 3).astype(float)
+        m1, m2 = np.zeros_like(self.n1), np.zeros_like(self.n2)
+        for c in range(32):
+            m1[:, _OF_1[c]] += seen[:, c]
+            m2[:, _OF_2[c]] += seen[:, c]
+        gave = ((m1.sum(axis=1) * self.p0).sum(axis=1), (m1 * self.p1).sum(axis=(1, 2)), (m2 * self.p2).sum(axis=(1, 2)))
+        self.score = self.score * 0.8 + np.stack(gave, axis=1)
+        self.n1, self.n2 = self.n1 * 0.9 + m1, self.n2 * 0.9 + m2
+        self._mix()
+        new = kind == 2
+        where = np.broadcast_to(self.lane, ids.shape)[new] * 256 + (ids[new] >> self.shift)
+        self.seen += np.bincount(where, minlength=self.lanes * 256).reshape(self.lanes, 256)
+        self.prev2 = ids[-2].copy() if len(ids) > 1 else self.prev1
+        self.prev1 = ids[-1].copy()
+        self.steps += len(ids)
+        if self.steps % REFRESH == 0:
+            self._order0()
 
 
 class _Writer:
     def __init__(self, lanes: int) -> None:
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        self.words, self.n = np.zeros((lanes, 64), np.uint32), np.zeros(lanes, np.int64)
+        self.words, self.n = np.zeros((64, lanes), np.uint32), np.zeros(lanes, np.int64)
 
     def _emit(self, who: np.ndarray) -> None:
-        if int(self.n[who].max()) >= self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-        self.words[who, self.n[who]] = (self.low[who] >> _U(32)).astype(np.uint32)
-        self.n[who] += 1
-        self.low[who] <<= _U(32)
-        self.range[who] <<= _U(32)
-
-    def code(self, who: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        unit = self.range[who] >> _U(_BITS)
-        low, size = self.low[who] + unit * start.astype(_U), unit * freq.astype(_U)
-        settled = ((low ^ (low + size)) >> _U(32)) == 0
-        small = ~settled & (size < _U(1 << 16))
-        if small.any():
-            size[small] = (~low[small] + _U(1)) & _U(0xFFFF)
-            settled |= small
-        self.low[who], self.range[who] = low, size
-        if settled.any():
-            self._emit(who[settled])
+        n = self.n[who]
+        if int(n.max()) >= len(self.words):
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+        low = self.low[who]
+        self.words[n, who] = low >> _WORD
+        self.n[who] = n + 1
+        self.range[who] = np.minimum(self.range[who], _FULL - (low & _LOW)) << _WORD
+        self.low[who] = low << _WORD
+
+    def code(self, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        unit = self.range >> _U(bits)
+        self.low += unit * start
+        self.range = unit * freq
+        short = np.flatnonzero(self.range < _FULL)
+        if len(short):
+            self._emit(short)
 
     def finish(self) -> list[bytes]:
         everyone = np.arange(len(self.low))
         for _ in range(2):
             self._emit(everyone)
-        return [self.words[i, :n].astype("<u4").tobytes() for i, n in enumerate(self.n.tolist())]
+        return [np.ascontiguousarray(self.words[:n, i]).astype("<u4").tobytes() for i, n in enumerate(self.n.tolist())]
 
 
 class _Reader:
     def __init__(self, payloads: list[bytes]) -> None:
         lanes = len(payloads)
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        self.words = np.zeros((lanes, max(len(p) for p in payloads) // 4 + 2), _U)
+        self.words = np.zeros((max(len(p) for p in payloads) // 4 + 2, lanes), _U)
         for i, p in enumerate(payloads):
-            self.words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
-        self.value, self.n = (self.words[:, 0] << _U(32)) | self.words[:, 1], np.full(lanes, 2)
-
-    def target(self, who: np.ndarray) -> np.ndarray:
-        """Where each lane's value lies, out of 2**15."""
-        self.unit = self.range[who] >> _U(_BITS)
-        return np.minimum((self.value[who] - self.low[who]) // self.unit, _U(_TOTAL - 1)).astype(np.int64)
-
-    def take(self, who: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        low, size = self.low[who] + self.unit * start.astype(_U), self.unit * freq.astype(_U)
-        settled = ((low ^ (low + size)) >> _U(32)) == 0
-        small = ~settled & (size < _U(1 << 16))
-        if small.any():
-            size[small] = (~low[small] + _U(1)) & _U(0xFFFF)
-            settled |= small
-        self.low[who], self.range[who] = low, size
-        if settled.any():
-            again = who[settled]
-            self.low[again] <<= _U(32)
-            self.range[again] <<= _U(32)
-            at = np.minimum(self.n[again], self.words.shape[1] - 1)
-            self.value[again] = (self.value[again] << _U(32)) | self.words[again, at]
-            self.n[again] += 1
-
-
-def _class_bounds(model: _Model, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.where(kind == 0, 0, np.where(kind == 1, model.f0, model.f0 + model.f1))
-    freq = np.where(kind == 0, model.f0, np.where(kind == 1, model.f1, _TOTAL - model.f0 - model.f1))
-    return start, freq
-
-
-def _encode(ids: np.ndarray, digits: int) -> list[bytes]:
-    """Payloads of blocks, the rows of ``ids``, all equally long."""
-    model, writer = _Model(len(ids), digits), _Writer(len(ids))
-    for t in range(ids.shape[1]):
-        now = ids[:, t].astype(np.int64)
-        model.predict()
-        kind = np.where(model.p2 == now, 0, np.where(model.p1 == now, 1, 2))
-        writer.code(model.lanes, *_class_bounds(model, kind))
-        who = np.flatnonzero(kind == 2)
+            self.words[: len(p) // 4, i] = np.frombuffer(p, "<u4")
+        self.value, self.n = (self.words[0] << _WORD) | self.words[1], np.full(lanes, 2)
+
+    def unit(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(length of a part, distance of the value from the interval's start)."""
+        return self.range >> _U(bits), self.value - self.low
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        self.low += start
+        self.range = size
+        who = np.flatnonzero(size < _FULL)
         if len(who):
-            context = np.zeros(len(who), np.int64)
-            for level in range(digits):
-                digit = now[who] >> (4 * (digits - 1 - level)) & 15
-                rows = model.digit_rows(level, who, context)
-                each = np.arange(len(who))
-                start = rows[each, digit]
-                writer.code(who, start, rows[each, digit + 1] - start)
-                model.learn_digit(level, who, context, rows, digit)
-                context = context * 16 + digit
-        model.learn(now, kind)
+            low, n = self.low[who], self.n[who]
+            self.range[who] = np.minimum(size[who], _FULL - (low & _LOW)) << _WORD
+            self.low[who] = low << _WORD
+            self.value[who] = (self.value[who] << _WORD) | self.words[np.minimum(n, len(self.words) - 1), who]
+            self.n[who] = n + 1
+
+
+def _shift(bits: int) -> int:
+    return max(0, bits - 8)
+
+
+def _encode(ids: np.ndarray, bits: int) -> list[bytes]:
+    """Payloads of blocks, the rows of ``ids``, all equally long."""
+    shift = _shift(bits)
+    model, writer = _Model(len(ids), shift), _Writer(len(ids))
+    steps = np.ascontiguousarray(ids.T).astype(np.int64)
+    whole, literal = _U(1 << _CLASS_BITS), _LITERAL_BITS + shift
+    for at in range(0, len(steps), SEGMENT):
+        now = steps[at : at + SEGMENT]
+        before = np.concatenate([model.prev2[None], model.prev1[None], now])
+        looked = model.look(before[1:-1], before[:-2])
+        _, _, e1, e2, context = looked
+        kind = np.where(e2 >> 2 == now, 0, np.where(e1 >> 2 == now, 1, 2))
+        b0, b1 = model.b0.take(model.at_context + context), model.b1.take(model.at_context + context)
+        start = np.where(kind == 0, _U(0), np.where(kind == 1, b0, b1))
+        freq = np.where(kind == 0, b0, np.where(kind == 1, b1, whole)) - start
+        place = model.at_digit + (now >> shift)
+        low, width = model.cum.take(place), model.cum.take(place + 1)
+        width -= low
+        new = kind == 2
+        first = np.where(new, (low << shift) + (now & (1 << shift) - 1) * width, 0).astype(_U)
+        many = np.where(new, width, 1 << literal).astype(_U)
+        for t in range(len(now)):
+            writer.code(start[t], freq[t], _CLASS_BITS)
+            writer.code(first[t], many[t], literal)
+        model.learn(now, kind, looked)
     return writer.finish()
 
 
-def _decode(payloads: list[bytes], length: int, digits: int) -> np.ndarray:
-    model, reader = _Model(len(payloads), digits), _Reader(payloads)
-    out = np.empty((len(payloads), length), np.uint32)
-    for t in range(length):
-        model.predict()
-        target = reader.target(model.lanes)
-        kind = (target >= model.f0).astype(np.int64) + (target >= model.f0 + model.f1)
-        reader.take(model.lanes, *_class_bounds(model, kind))
-        now = np.where(kind == 0, model.p2, model.p1).astype(np.int64)
-        who = np.flatnonzero(kind == 2)
-        if len(who):
-            context = np.zeros(len(who), np.int64)
-            for level in range(digits):
-                rows = model.digit_rows(level, who, context)
-                target = reader.target(who)
-                digit = (rows[:, 1:] <= target[:, None]).sum(axis=1)
-                each = np.arange(len(who))
-                start = rows[each, digit]
-                reader.take(who, start, rows[each, digit + 1] - start)
-                model.learn_digit(level, who, context, rows, digit)
-                context = context * 16 + digit
-            now[who] = context
-        model.learn(now, kind)
-        out[:, t] = now
-    return out
-
-
-def digits_for(largest: int) -> int:
-    return max(1, (int(largest).bit_length() + 3) // 4)
+def _decode(payloads: list[bytes], length: int, bits: int) -> np.ndarray:
+    shift = _shift(bits)
+    lanes = len(payloads)
+    model, reader = _Model(lanes, shift), _Reader(payloads)
+    out = np.empty((length, lanes), np.int64)
+    literal, most = _LITERAL_BITS + shift, _U((1 << _LITERAL_BITS + shift) - 1)
+    for at in range(0, length, SEGMENT):
+        looks, kinds = [], []
+        prev1, prev2 = model.prev1, model.prev2
+        for t in range(at, min(at + SEGMENT, length)):
+            look = model.look(prev1, prev2)
+            _, _, e1, e2, context = look
+            place = model.at_context + context
+            unit, value = reader.unit(_CLASS_BITS)
+            b0, b1 = unit * model.b0.take(place), unit * model.b1.take(place)
+            past0, past1 = value >= b0, value >= b1
+            kind = past0.astype(np.int64) + past1
+            start = np.where(past1, b1, np.where(past0, b0, _U(0)))
+            reader.take(start, np.where(past1, unit << _U(_CLASS_BITS), np.where(past0, b1, b0)) - start)
+            unit, value = reader.unit(literal)
+            target = np.minimum(value // unit, most).astype(np.int64)
+            digit = model.digit_at(target >> shift)
+            place = model.at_digit + digit
+            low = model.cum.take(place)
+            width = model.cum.take(place + 1) - low
+            rest = (target - (low << shift)) // width
+            new = kind == 2
+            start = np.where(new, (low << shift) + rest * width, 0).astype(_U)
+            reader.take(unit * start, unit * np.where(new, width, 1 << literal).astype(_U))
+            now = np.where(new, digit << shift | rest, np.where(past0, e1, e2) >> 2).astype(np.int64)
+            out[t] = now
+            looks.append(look)
+            kinds.append(kind)
+            prev1, prev2 = now, prev1
+        looked = tuple(np.stack(x) for x in zip(*looks, strict=True))
+        model.learn(out[at : at + SEGMENT], np.stack(kinds), looked)
+    return out.T.astype(np.uint32)
+
+
+def bits_for(largest: int) -> int:
+    return max(1, int(largest).bit_length())
 
 
 def frame(kind: int, count: int, crc: int, payload: bytes) -> bytes:
@@ -241,9 +271,9 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     for rows in shapes:
         for at in range(0, len(rows), LANES):
             part = rows[at : at + LANES]
-            digits = digits_for(part.max())
-            payloads = _encode(part, digits)
-            frames += [frame(BLOCK, part.shape[1], zlib.crc32(row.tobytes()), bytes([digits]) + p) for row, p in zip(part, payloads, strict=True)]
+            bits = bits_for(part.max())
+            payloads = _encode(part, bits)
+            frames += [frame(BLOCK, part.shape[1], zlib.crc32(row.tobytes()), bytes([bits]) + p) for row, p in zip(part, payloads, strict=True)]
     return frames
 
 
@@ -254,10 +284,10 @@ def decode_blocks(frames: list[bytes]) -> np.ndarray:
     groups: dict[tuple[int, int], list[int]] = {}
     for i, (_, count, _, payload) in enumerate(parts):
         groups.setdefault((count, payload[0]), []).append(i)
-    for (count, digits), who in groups.items():
+    for (count, bits), who in groups.items():
         for at in range(0, len(who), LANES):
             lanes = who[at : at + LANES]
-            got = _decode([parts[i][3][1:] for i in lanes], count, digits).astype("<u4")
+            got = _decode([parts[i][3][1:] for i in lanes], count, bits).astype("<u4")
             for i, row in zip(lanes, got, strict=True):
                 if zlib.crc32(row.tobytes()) != parts[i][2]:
                     raise ValueError("a block of a token file does not match its checksum")
