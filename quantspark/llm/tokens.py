@@ -21,8 +21,8 @@ import pyarrow as pa
 from . import kernel
 
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-CACHE_UNITS = 800_000
-TABLE_BITS = 21
+CACHE_UNITS = 1_500_000
+TABLE_BITS = 22
 _RAW_TABLE = kernel._TABLES[False].copy()  # noqa: SLF001
 _RAW_TABLE[kernel.SPACE] = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
