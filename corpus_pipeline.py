@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes each result as Parquet
 and rereads it as the next stage's documents.  All stages but the last return the columns of ``documents``.
 
-Defined results: documents without a letter, or that no language fits, are rejected; cleaned texts get a new n_chars;
+Defined results: documents without a letter, without evidence for a language, or with less than half of their letters in likely
+words of learned languages (other scripts, gibberish) are rejected; cleaned texts get a new n_chars;
 rows that repeat a doc_id share its fate, and documents without an id cannot be told apart: if one of them stays, all
 stay; an empty table passes through as an empty table.
 """
@@ -20,9 +21,9 @@ from quantspark.llm import langid, lines, mixing, near, packing
 from quantspark.llm.queries import documents, tokenizer_file
 from quantspark.llm.storage import materialise, scope, sweep
 
-#: A document is rejected if less than this share of its letters, weighed by certainty, is in one language.
-LEAST_SCORE = 0.25
-
+#: A document is rejected unless this share of all its letters stands in likely words of learned languages: the larger part of
+#: it must be language.  Languages mixed in one document, and words that several have, do not count against it.
+LEAST_COVERAGE = 0.5
 
 SCOPE = "corpus pipeline"
 
@@ -41,8 +42,8 @@ def _stage(f: Callable) -> Callable:
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; a missing lang is filled with the prediction."""
-    found = langid.identify(docs).where((F.col("qs_lang") != "und") & (F.col("qs_score") >= LEAST_SCORE))
+    """Documents mostly in learned languages; a missing lang is filled with the prediction."""
+    found = langid.identify(docs).where((F.col("qs_lang") != "und") & (F.col("qs_score") > 0) & (F.col("qs_coverage") >= LEAST_COVERAGE))
     return found.withColumn("lang", F.coalesce("lang", "qs_lang")).select(docs.columns)
 
 

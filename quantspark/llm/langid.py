@@ -10,10 +10,14 @@ for each switch, labels spans.  A word's evidence for its label is its letters t
 guess, so words that any language could have count for nothing; the language with the most evidence is the document's,
 and ``score`` is its share of all evidence.
 
+``coverage`` says how much of a document is language at all: the share of its letters, those of unfit words included, that
+stand in words some fitting language is likely to have made.  A word is likely if the mean log-probability of the n-grams that end in its letters is nearer to
+that of the language's own training texts than to that of the same texts with their letters shuffled.
+
 All words of a batch are scored at once by numpy; Viterbi runs in lockstep over texts.  Texts longer than ``CHUNK`` words are
 labelled in chunks, whose spans are joined, so that one very long text does not become one very long loop.
 
-Defined results: null texts and texts without letters are ``und`` with score 0; words without letters score 0 for
+Defined results: null texts and texts without letters are ``und`` with score and coverage 0; words without letters score 0 for
 every language and take the label of their neighbours; if no learned language fits the scripts of any word, the most
 frequent learned language is returned with score 0; ties go to the language that sorts first; null doc_ids never train.
 """
@@ -38,6 +42,8 @@ ORDERS = (1, 2, 3, 4)
 SWITCH = 6.0
 CHUNK = 1024
 PER_LANG = 1500
+#: Training texts of each language, as they are and with their letters shuffled, that tell likely words from noise.
+NOISE_TEXTS = 100
 #: First and last code point of the letter blocks of common scripts; other letters are one more script.
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x0370, 0x03FF), ("greek", 0x1F00, 0x1FFF),
@@ -63,9 +69,10 @@ def script_bits() -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
-    table: np.ndarray  # (2**BITS, languages) log-probability ratios
+    table: np.ndarray  # (2**BITS, languages + 1) log-probability ratios, and the mean log-probability they are ratios to
     scripts: np.ndarray  # per language, bits of its scripts
     prior: int  # the most frequent language
+    least: np.ndarray  # per language, the mean log-probability from which a word is likely
 
 
 def _byte_classes() -> np.ndarray:
@@ -77,20 +84,25 @@ def _byte_classes() -> np.ndarray:
 
 
 _LOWER = _byte_classes()
+#: 1 for the bytes that letters are made of, so that symbols around a word do not make it unlikely.
+_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)], dtype=np.float32)
 
 
 def _gram_slots(data: np.ndarray, words: kernel.Words) -> Iterator[np.ndarray]:
     """For each order, the table slot of the n-gram that ends at each byte (with one byte before the word as its edge).
 
-    Bytes of white space have the n-grams that end a word, which belong to the word before them.
+    Bytes of white space have the n-grams that end a word, which belong to the word before them.  A text begins as if white
+    space were before it, whatever text the batch holds there.
     """
     codes = _LOWER[data].astype(np.uint32)
-    # a word at the start of a text may follow another text's last byte: the edge is then not a space, which is harmless
     rolled = codes.copy()
     for n in ORDERS:
         if n > 1:
-            before = np.concatenate([np.zeros(n - 1, np.uint32), codes[: len(codes) - n + 1]])
-            rolled = rolled * np.uint32(0x01000193) + before[: len(codes)]
+            before = np.concatenate([np.zeros(n - 1, np.uint32), codes[: len(codes) - n + 1]])[: len(codes)]
+            for k in range(n - 1):
+                at = words.offsets[:-1] + k
+                before[at[at < len(codes)]] = 0
+            rolled = rolled * np.uint32(0x01000193) + before
         mixed = (rolled + np.uint32(n)) * np.uint32(0x9E3779B1)
         yield mixed >> np.uint32(32 - BITS)
 
@@ -113,25 +125,40 @@ def _letters(data: np.ndarray, words: kernel.Words) -> tuple[np.ndarray, np.ndar
     return counts[stop] - counts[start], union
 
 
-def word_scores(column: pa.Array, model: Model) -> tuple[kernel.Words, np.ndarray, np.ndarray]:
-    """(words, letters of each word, scores of each word and language)."""
+def _word_means(words: kernel.Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word and language, summed over the orders: mean ratio of its bytes, mean log-probability of its letters' bytes."""
+    k = table.shape[1] - 1
+    if not len(words.start):
+        return np.zeros((0, k), dtype=np.float32), np.zeros((0, k), dtype=np.float32)
+    total = np.zeros((len(words.data) + 1, k + 1), dtype=np.float32)
+    for slots in _gram_slots(words.data, words):
+        total[:-1] += table[slots]
+    edges = np.stack([words.start, words.end], axis=1).reshape(-1)
+    ratio = np.add.reduceat(total[:, :-1], edges, axis=0)[::2] / (words.end - words.start).astype(np.float32)[:, None]
+    own = np.append(_LETTER[words.data], np.float32(0))
+    size = np.maximum(np.add.reduceat(own, edges)[::2], 1)
+    logs = np.stack([np.add.reduceat((total[:, j] + total[:, -1]) * own, edges)[::2] / size for j in range(k)], axis=1)
+    return ratio, logs
+
+
+def _judge_words(column: pa.Array, model: Model) -> tuple[kernel.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, all letters of each word, those of words that fit, those of likely words, scores of each word and language)."""
     words = kernel.words_of(column)
     letters, scripts = _letters(words.data, words)
-    n = len(words.start)
-    scores = np.zeros((n, len(model.langs)), dtype=np.float32)
-    if n:
-        total = np.zeros((len(words.data), len(model.langs)), dtype=np.float32)
-        for slots in _gram_slots(words.data, words):
-            total += model.table[slots]
-        edges = np.stack([words.start, words.end], axis=1).reshape(-1)
-        total = np.concatenate([total, np.zeros((1, total.shape[1]), np.float32)])
-        scores = np.add.reduceat(total, edges, axis=0)[::2]
-        size = (words.end - words.start).astype(np.float32)[:, None]
-        scores = np.clip(scores / size, -4, 4) * np.minimum(size, 8) / 4
+    ratio, logs = _word_means(words, model.table)
+    size = (words.end - words.start).astype(np.float32)[:, None]
     fits = (scripts[:, None] & model.scripts[None, :]) != 0
+    likely = (fits & (logs >= model.least)).any(axis=1)
+    scores = np.clip(ratio, -4, 4) * np.minimum(size, 8) / 4
     scores = np.where(fits, scores, np.float32(-30))
     scores[~fits.any(axis=1)] = 0
-    return words, np.where(fits.any(axis=1), letters, 0), scores
+    return words, letters, np.where(fits.any(axis=1), letters, 0), np.where(likely, letters, 0), scores
+
+
+def word_scores(column: pa.Array, model: Model) -> tuple[kernel.Words, np.ndarray, np.ndarray]:
+    """(words, letters of each word, scores of each word and language)."""
+    words, _, letters, _, scores = _judge_words(column, model)
+    return words, letters, scores
 
 
 def viterbi(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -165,7 +192,13 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, switch: flo
 
 def predict(column: pa.Array, model: Model) -> tuple[list[str], list[float], list[list[dict]]]:
     """(language, score, spans) of every text; a span is (from_word, n_words, lang)."""
-    words, letters, scores = word_scores(column, model)
+    pred, score, _, spans = judge(column, model)
+    return pred, score, spans
+
+
+def judge(column: pa.Array, model: Model) -> tuple[list[str], list[float], list[float], list[list[dict]]]:
+    """(language, score, coverage, spans) of every text."""
+    words, raw, letters, likely, scores = _judge_words(column, model)
     langs, counts = len(model.langs), words.counts
     parts = -(-counts // CHUNK)
     row = np.repeat(np.arange(len(counts)), parts)
@@ -184,9 +217,8 @@ def predict(column: pa.Array, model: Model) -> tuple[list[str], list[float], lis
         sure = posterior[np.arange(len(labels)), labels]
         sure = np.maximum((sure - even) / (1 - even), 0) if langs > 1 else sure
         np.add.at(trust, (owner, labels), letters * sure)
-    all_letters = np.zeros(len(counts))
-    raw, _ = _letters(words.data, words)
-    np.add.at(all_letters, owner, raw)
+    all_letters = np.bincount(owner, raw, len(counts))
+    coverage = np.bincount(owner, likely, len(counts)) / np.maximum(all_letters, 1)
     best = np.where(trust.any(axis=1), trust.argmax(axis=1), weight.argmax(axis=1))
     each = np.arange(len(counts))
     pred, score, spans = [], [], []
@@ -204,14 +236,36 @@ def predict(column: pa.Array, model: Model) -> tuple[list[str], list[float], lis
         cuts = np.flatnonzero(np.diff(mine)) + 1
         edges = [0, *cuts.tolist(), len(mine)] if len(mine) and all_letters[i] else []
         spans.append([{"from_word": a, "n_words": b - a, "lang": model.langs[mine[a]]} for a, b in zip(edges[:-1], edges[1:], strict=True)])
-    return pred, score, spans
+    return pred, score, coverage.tolist(), spans
+
+
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters in another order; everything else stays in its place."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
+    at = np.flatnonzero(script_bits()[points])
+    points[at] = points[rng.permutation(at)]
+    return points.tobytes().decode("utf-32-le")
+
+
+def _least(rows: list[tuple[str, str]], langs: tuple[str, ...], table: np.ndarray) -> np.ndarray:
+    """Per language, the middle between the mean log-probabilities of its texts and of their shuffled letters."""
+    rng = np.random.default_rng(7)
+    out = np.zeros(len(langs), dtype=np.float32)
+    for j, lang in enumerate(langs):
+        texts = [t for other, t in rows if other == lang][:NOISE_TEXTS]
+        for some in (texts, [_shuffled(t, rng) for t in texts]):
+            words = kernel.words_of(pa.array(some, pa.string()))
+            letters, _ = _letters(words.data, words)
+            _, logs = _word_means(words, table[:, [j, -1]])
+            out[j] += (logs[:, 0] * letters).sum() / max(letters.sum(), 1) / 2
+    return out
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
     """Model of (lang, text) rows."""
     langs = tuple(sorted({lang for lang, _ in rows}))
     if not langs:
-        return Model((), np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.uint32), 0)
+        return Model((), np.zeros((1 << BITS, 1), np.float32), np.zeros(0, np.uint32), 0, np.zeros(0, np.float32))
     counts = np.zeros((1 << BITS, len(langs)))
     scripts = np.zeros(len(langs), dtype=np.uint32)
     for j, lang in enumerate(langs):
@@ -230,9 +284,10 @@ def train(rows: list[tuple[str, str]]) -> Model:
         scripts[j] = sum(1 << bit for bit, n in letters.items() if total and n >= 0.2 * total)
     share = (counts + 0.5) / (counts.sum(axis=0, keepdims=True) + 0.5 * len(counts))
     logs = np.log(share)
-    table = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+    mean = logs.mean(axis=1, keepdims=True)
+    table = np.concatenate([logs - mean, mean], axis=1).astype(np.float32)
     known = [sum(lang == x for x, _ in rows) for lang in langs]
-    return Model(langs, table, scripts, int(np.argmax(known)) if known else 0)
+    return Model(langs, table, scripts, int(np.argmax(known)) if known else 0, _least(rows, langs, table))
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -260,23 +315,23 @@ def _label(shared):
         kind = pa.list_(pa.struct([("from_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())]))
         for whole in batches:
             for batch in kernel.slices(whole, limit=2 << 20):
-                pred, score, spans = predict(batch.column("text"), model)
-                made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "qs_lang", "qs_score", "qs_spans"])
+                pred, score, coverage, spans = judge(batch.column("text"), model)
+                made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(coverage, pa.float64()), pa.array(spans, kind)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "qs_lang", "qs_score", "qs_coverage", "qs_spans"])
 
     return run
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG, model: Model | None = None) -> DataFrame:
-    """All columns of ``docs`` with qs_lang, qs_score and qs_spans; the model is trained on ``docs`` unless given."""
+    """All columns of ``docs`` with qs_lang, qs_score, qs_coverage and qs_spans; the model is trained on ``docs`` unless given."""
     spark = docs.sparkSession
     small_batches(spark)
     model = model or train(training_rows(docs, per_lang))
     if not model.langs:
         blank = F.lit(None).cast("array<struct<from_word:int,n_words:int,lang:string>>")
-        return docs.select("*", F.lit("und").alias("qs_lang"), F.lit(0.0).alias("qs_score"), blank.alias("qs_spans"))
+        return docs.select("*", F.lit("und").alias("qs_lang"), F.lit(0.0).alias("qs_score"), F.lit(0.0).alias("qs_coverage"), blank.alias("qs_spans"))
     from pyspark.sql import types as T
 
     span = T.ArrayType(T.StructType([T.StructField("from_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("lang", T.StringType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("qs_lang", T.StringType()), T.StructField("qs_score", T.DoubleType()), T.StructField("qs_spans", span)])
+    schema = T.StructType([*docs.schema.fields, T.StructField("qs_lang", T.StringType()), T.StructField("qs_score", T.DoubleType()), T.StructField("qs_coverage", T.DoubleType()), T.StructField("qs_spans", span)])
     return docs.mapInArrow(_label(spark.sparkContext.broadcast(model)), schema)

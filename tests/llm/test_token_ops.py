@@ -137,6 +137,26 @@ def test_language_spans(model):
     assert labels == ["en", "de"] and abs(spans[3][0]["n_words"] - 17) <= 1 and sum(s["n_words"] for s in spans[3]) == len(mixed.split())
 
 
+def test_documents_that_are_mostly_no_learned_language_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(11)
+    prose = docs.where("lang = 'en' and n_chars > 500").orderBy("doc_id").first()["text"]
+    some = " ".join(prose.split()[:3])
+    noise = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(3, 10))) for _ in range(n))
+    bad = [noise("абвгдежзиклмноп", 100) + " " + some, some + " " + noise("ابتثجحخدذرز", 100), noise("abcdefghijklmnopqrstuvwxyz", 100) + " " + some]
+    good = [prose, prose.replace(" ", " &&& "), prose[: len(prose) // 2] + " " + noise("абвг", 5)]
+    odd = spark.createDataFrame([(10**9 + i, t, None, "odd", len(t)) for i, t in enumerate(bad + good)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(odd), sf).collect()
+    assert {r["doc_id"] - 10**9 for r in kept if r["source"] == "odd"} == {3, 4, 5}
+    assert {r["doc_id"] for r in kept if r["source"] != "odd"} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_a_text_is_judged_alike_in_any_batch(model):
+    texts = ["Der Hund.", "the quick", "über", "le chat"]
+    alone = [langid.judge(pa.array([t]), model)[:3] for t in texts]
+    assert [list(x) for x in zip(*langid.judge(pa.array(texts), model)[:3], strict=True)] == [[x[0] for x in a] for a in alone]
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(1)
     scores = rng.normal(0, 3, (9, 3))
