@@ -100,6 +100,16 @@ def test_lines(spark, base, least):
     assert lines.dedup_lines(twice).where("qs_n_dropped > 0").count() == 0
 
 
+@pytest.mark.parametrize("least", [2, 3])
+def test_lines_of_rows_without_an_id_or_with_one_id(spark, least):
+    shared = "a line that all share"
+    texts = [shared, f"{shared}\nfirst line of its own", f"second line of its own\n{shared}", f"{shared}\nthird line of its own", f"fourth line of its own\n{shared}\n{shared}", f"{shared}\nfirst line of its own", shared, None]
+    ids = [1, None, None, 7, 7, None, 3, None]
+    got = sorted((r["text"] or "", r["qs_n_lines"], r["qs_n_dropped"]) for r in lines.dedup_lines(table(spark, texts, ids), min_docs=least).collect())
+    own = [("first line of its own", 2, 1)] * 2 + [("second line of its own", 2, 1), ("third line of its own", 2, 1), ("fourth line of its own", 3, 2)]
+    assert got == sorted([(shared, 1, 0), ("", 1, 1), ("", 1, 0), *own])
+
+
 def near_brute(texts, k):
     sets = []
     for t in texts:
