@@ -31,7 +31,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 2 << 20
 
 
 def _table(lower: bool) -> np.ndarray:

@@ -309,6 +309,11 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str,
     return sorted((r["lang"], r["text"]) for r in texts.select("lang", "text").toLocalIterator())
 
 
+def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
+    """The model of the labelled documents outside fold 1; without any it knows no language."""
+    return train(training_rows(docs, per_lang))
+
+
 def _label(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -326,7 +331,7 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, model: Model | None = No
     """All columns of ``docs`` with qs_lang, qs_score, qs_coverage and qs_spans; the model is trained on ``docs`` unless given."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = model or train(training_rows(docs, per_lang))
+    model = model or fit(docs, per_lang)
     if not model.langs:
         blank = F.lit(None).cast("array<struct<from_word:int,n_words:int,lang:string>>")
         return docs.select("*", F.lit("und").alias("qs_lang"), F.lit(0.0).alias("qs_score"), F.lit(0.0).alias("qs_coverage"), blank.alias("qs_spans"))

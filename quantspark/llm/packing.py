@@ -99,7 +99,7 @@ def _tokenise(path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path, spaces=True)
         for whole in batches:
-            for batch in kernel.slices(whole):
+            for batch in kernel.slices(whole, limit=1 << 20):
                 ids, counts = encoder.encode(batch.column("text"))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype(f"<u{width}")

@@ -52,7 +52,7 @@ def _write(path: str, end_id: int):
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for whole in batches:
-            for batch in kernel.slices(whole):
+            for batch in kernel.slices(whole, limit=1 << 20):
                 ids, counts = encoder.encode(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 doc_id = batch.column("doc_id")

@@ -6,8 +6,13 @@ of a text is a unit of its own.  Both kinds of pre-tokenizer start a new match a
 ids of its units one after another.  The only exception are white-space characters beyond ASCII, which the pattern of a
 byte-level tokenizer can join across a cut; texts with such a character are encoded whole.
 
-Each distinct unit of a slice, found by its 64-bit hash, is encoded once by the library; a bounded cache keeps the ids of
-units seen before.
+Each distinct unit of a slice, found by its 64-bit hash, is encoded once by the library.  Units go to it in lots, joined by
+the tokenizer's own special token: the library cuts a text there before anything else, so that each unit is encoded by
+itself, and the special token's id marks where its ids end.  A lot that itself contains this token is encoded unit by unit.
+
+Memory is bounded: a table keeps the ids of at most ``CACHE_UNITS`` units and ``CACHE_IDS`` ids, and a worker holds one
+encoder.  When the table is full, new units are encoded for their slice only; when these have become
+``STALE`` times as many as the table holds, the texts have changed and the table is filled anew.
 """
 
 from __future__ import annotations
@@ -21,8 +26,9 @@ import pyarrow as pa
 from . import kernel
 
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-CACHE_UNITS = 1_500_000
-TABLE_BITS = 22
+CACHE_UNITS, CACHE_IDS, STALE = 500_000, 3_000_000, 4
+TABLE_BITS = 20
+LOT = 8192
 _RAW_TABLE = kernel._TABLES[False].copy()  # noqa: SLF001
 _RAW_TABLE[kernel.SPACE] = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -46,21 +52,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces = spaces
+        marks = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark_id, self.mark = max(marks, default=(-1, ""))
+        self.starts, self.counts, self.odd = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
+        self.ids = np.zeros(1 << 18, np.uint32)
         self._clear()
 
     @classmethod
     def of(cls, path: str, spaces: bool) -> Encoder:
         if (path, spaces) not in cls._held:
+            cls._held.clear()
             cls._held[path, spaces] = cls(path, spaces)
         return cls._held[path, spaces]
 
     def _clear(self) -> None:
         self.keys = np.zeros(1 << TABLE_BITS, np.uint64)  # open addressing; 0 is free
         self.index = np.zeros(1 << TABLE_BITS, np.int32)
-        self.starts = np.empty(0, np.int64)
-        self.counts = np.empty(0, np.int64)
-        self.odd = np.empty(0, bool)
-        self.ids = np.empty(0, np.uint32)
+        self.known = self.known_ids = self.passed = 0
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each known unit, -1 for the others."""
@@ -106,17 +114,42 @@ class Encoder:
         ptr[1:] += np.cumsum(tail_from < high)
         return words.data, np.insert(start, at, tail_from[tail]), np.insert(words.end, at, high[tail]), ptr
 
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        texts = [data[a:b].tobytes().decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((x for one in found for x in one), np.uint32, int(counts.sum()))
-        odd = np.fromiter((self.spaces and ODD_SPACE.search(t) is not None for t in texts), bool, len(texts))
-        self._insert(hashes, len(self.starts))
-        starts = len(self.ids) + np.cumsum(counts) - counts
-        for name, new in (("starts", starts), ("counts", counts), ("odd", odd)):
-            setattr(self, name, np.concatenate([getattr(self, name), new]))
-        self.ids = np.concatenate([self.ids, ids])
+    def _lot(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids per unit, whether a unit has odd white space) of the units data[start : start + size]."""
+        mark = np.frombuffer(self.mark.encode(), np.uint8)
+        ends = np.cumsum(size + len(mark))
+        joined = np.empty(int(ends[-1]), np.uint8)
+        inside = np.ones(len(joined), bool)
+        inside[((ends - len(mark))[:, None] + np.arange(len(mark))).ravel()] = False
+        joined[inside] = ragged(data, start, size, np.arange(len(start)))
+        joined[~inside] = np.tile(mark, len(start))
+        text = joined.tobytes().decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(ids == self.mark_id)
+        odd = np.zeros(len(start), bool)
+        if len(cuts) != len(start) or (self.spaces and ODD_SPACE.search(text)):
+            units = [data[a : a + n].tobytes().decode() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+            odd = np.fromiter((self.spaces and ODD_SPACE.search(u) is not None for u in units), bool, len(units))
+            if len(cuts) != len(start):
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+                return np.array([x for one in found for x in one], np.uint32), np.fromiter(map(len, found), np.int64, len(found)), odd
+        return np.delete(ids, cuts), np.diff(cuts, prepend=-1) - 1, odd
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int]:
+        """Put the ids of units behind the known ones; (units, ids) that are there now."""
+        units, total = self.known, self.known_ids
+        for at in range(0, len(start), LOT):
+            part = slice(at, at + LOT)
+            ids, counts, odd = self._lot(data, start[part], (end - start)[part])
+            while units + len(counts) > len(self.starts):
+                self.starts, self.counts, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.odd))
+            while total + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            here = slice(units, units + len(counts))
+            self.starts[here], self.counts[here], self.odd[here] = total + np.cumsum(counts) - counts, counts, odd
+            self.ids[total : total + len(ids)] = ids
+            units, total = units + len(counts), total + len(ids)
+        return units, total
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, ids per row); null counts as empty."""
@@ -126,14 +159,18 @@ class Encoder:
         place = self._find(hashes)
         missing = np.flatnonzero(place < 0)
         if len(missing):
-            new, first = np.unique(hashes[missing], return_index=True)
-            if len(self.starts) + len(new) > CACHE_UNITS and len(self.starts):
+            if self.passed > STALE * CACHE_UNITS:
                 self._clear()
-                new, first = np.unique(hashes, return_index=True)
                 missing = np.arange(len(hashes))
+            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
             first = missing[first]
-            self._learn(new, data, start[first], end[first])
-            place[missing] = self._find(hashes[missing])
+            units, total = self._learn(data, start[first], end[first])
+            place[missing] = self.known + which
+            if units <= CACHE_UNITS and total <= CACHE_IDS:
+                self._insert(new, self.known)
+                self.known, self.known_ids = units, total
+            else:
+                self.passed += len(new)
         ids = ragged(self.ids, self.starts, self.counts, place)
         sums = np.concatenate([[0], np.cumsum(self.counts[place])])
         counts = np.diff(sums[ptr])
