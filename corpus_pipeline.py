@@ -42,8 +42,14 @@ def _stage(f: Callable) -> Callable:
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents mostly in learned languages; a missing lang is filled with the prediction."""
-    found = langid.identify(docs).where((F.col("qs_lang") != "und") & (F.col("qs_score") > 0) & (F.col("qs_coverage") >= LEAST_COVERAGE))
+    """Documents mostly in learned languages; a missing lang is filled with the prediction.
+
+    Where nothing is labelled, no language can be learned and none is rejected: documents with a letter pass as they are.
+    """
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, model=model).where((F.col("qs_lang") != "und") & (F.col("qs_score") > 0) & (F.col("qs_coverage") >= LEAST_COVERAGE))
     return found.withColumn("lang", F.coalesce("lang", "qs_lang")).select(docs.columns)
 
 
