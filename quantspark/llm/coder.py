@@ -1,20 +1,24 @@
 r"""Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Model of a block (everything starts afresh in each block):
+A block of up to ``BLOCK_IDS`` consecutive ids is cut into lanes, runs of the block that numpy codes in lockstep: each lane
+has a range coder of its own, but all lanes share one model, which learns from all of them.  Nothing is carried from block to
+block.
 
-* order 2: the id that last followed the two previous ids, with a confidence;
-* order 1: the id that last followed the previous id, with a confidence;
-* order 0: adaptive frequencies of the id's upper bits; its lower bits are coded as they are.
+Model:
 
-The class of an id (0: order 2 predicts it, 1: order 1 does, 2: neither) has three experts: one knows nothing, one
-the confidence of order 1, one the confidence of order 2 and whether both agree.  Their adaptive distributions are mixed
-linearly, with weights that follow the probability each expert gave to what came.  Ids of class 2 are coded by order 0.
-Predictions, mixture and weights learn after every ``SEGMENT`` ids, order 0 after every ``REFRESH``.
+* order 2: the id that last followed the two previous ids, with a confidence; it learns after every step;
+* order 1: how often each id has followed the previous id;
+* order 0: how often each id has come at all, every id of the alphabet at least a little.
+
+The kind of an id (0: order 2 predicts it, 1: order 1 has seen it after the previous id, 2: neither) has four experts: one
+knows nothing, one how often the previous id was seen, one the confidence of order 2, one both.  Their adaptive distributions
+are mixed linearly, with weights that follow the probability each expert gave to what came.  Ids of kind 1 are coded by
+the order-1 frequencies, blended with those of order 0, ids of kind 2 by order 0 alone.  Frequencies and mixture are brought up to date after
+runs of steps that grow with what has been seen (1, 1, 1, 2, 3, 4, ... steps up to ``MOST_IDS`` ids).
 
 The coder is a carry-less range coder with a 64-bit interval that emits 32-bit words whenever the interval is shorter than
-2**32.  Blocks share no state, so numpy codes up to ``LANES`` blocks in lockstep, and an encoder, who knows all ids,
-plans a segment of all blocks at once.  Only IEEE additions, multiplications and divisions in a fixed order enter the
-probabilities, so decoders agree everywhere.
+2**32.  Only integer arithmetic and IEEE additions, multiplications and divisions in a fixed order enter the probabilities,
+so decoders agree everywhere.
 
 A frame is ``magic, version, kind, count, crc32 of the decoded bytes, payload``.  Index frames hold doc ids and token
 counts, block frames hold ids.  A reader checks every frame's CRC and raises on a mismatch.
@@ -27,95 +31,129 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 2048
-LANES = 1024
-SEGMENT, REFRESH = 128, 256
+BLOCK_IDS = 1 << 20
+LANES, LANE_IDS = 2048, 128
+MOST_IDS = 1 << 17
 MAGIC = b"QSTB"
 INDEX, BLOCK = 0, 1
 _HEAD = struct.Struct("<4sBBxxII")
-_SLOTS = 512
-_CLASS_BITS, _LITERAL_BITS = 15, 11
+_BLOCK = struct.Struct("<BHI")  # raw low bits, lanes, largest symbol
+#: Symbols have at most this many bits; the lower bits of longer ids are coded as they are.
+SYMBOL_BITS = 18
 _U = np.uint64
+_SLOT_BITS = 18
+#: An id's kind and, for kind 1, its pair share one interval of 2**28 parts.
+_KIND_BITS, _PAIR_BITS = 12, 16
+_BITS = _KIND_BITS + _PAIR_BITS
+_PARTS = _U(1 << _BITS)
+_BUCKETS, _SURE = 12, 8
+_GAIN = 32  # of an observation against an id's least share in order 0
+_BLEND = 16  # of order 0 in a context's line, against 16 for each pair seen
+_MOST_PAIRS = 1 << _PAIR_BITS - 1
 _WORD = _U(32)
 _LOW = _U(0xFFFFFFFF)
 _FULL = _U(1 << 32)
-_CONTEXTS = np.arange(32)  # two bits of order-2 confidence, two of order-1 confidence, one whether both agree
-_OF_1, _OF_2 = _CONTEXTS >> 1 & 3, (_CONTEXTS >> 3) * 2 + (_CONTEXTS & 1)
 
 
 class _Model:
-    """State of many blocks.  Tables are flat, a lane's part after another's; entries are id * 4 + confidence."""
-
-    def __init__(self, lanes: int, shift: int) -> None:
-        self.lanes, self.shift = lanes, shift
-        lane = np.arange(lanes)
-        self.at_slot, self.at_context, self.at_digit, self.at_inverse = lane * _SLOTS, lane * 32, lane * 257, lane << _LITERAL_BITS
-        self.lane = lane
-        self.t1, self.t2 = (np.zeros(lanes * _SLOTS, np.int32) for _ in range(2))
-        self.n1, self.n2 = np.zeros((lanes, 4, 3)), np.zeros((lanes, 8, 3))
-        self.score = np.ones((lanes, 3))
-        self.seen = np.zeros((lanes, 256))
-        self.prev1, self.prev2 = (np.zeros(lanes, np.int64) for _ in range(2))
-        self.steps = 0
+    """What the coder and the decoder of a block have seen; all lanes share it."""
+
+    def __init__(self, lanes: int, largest: int) -> None:
+        self.size = largest + 1
+        self.bits = max(1, int(largest).bit_length())
+        # pairs and their places on the line of a context fit 32 bits for alphabets up to 2**16
+        self.key = np.uint32 if self.bits <= 16 else np.uint64
+        self.last = np.zeros(1 << _SLOT_BITS, np.int32)  # symbol * 8 + confidence, 0 if empty
+        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.seen = np.zeros(self.size, np.int64)
+        self.follows = np.zeros(self.size, np.int64)  # how often an id was a previous id
+        self.bucket = np.zeros(self.size, np.int64)
+        self.pairs = np.zeros(0, np.uint64)  # previous symbol << bits | symbol, rising
+        self.times = np.zeros(0, np.int64)
+        self.counts = [np.zeros(s + (3,)) for s in ((1, 1), (1, _BUCKETS), (_SURE, 1), (_SURE, _BUCKETS))]
+        self.score = np.ones(4)
         self._mix()
         self._order0()
+        self._order1()
+
+    def slot(self, prev1: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+        return (prev1 * 0x9E3779B1 + prev2 * 0x85EBCA77) >> 7 & (1 << _SLOT_BITS) - 1
+
+    def remember(self, slot: np.ndarray, entry: np.ndarray, symbol: np.ndarray, hit: np.ndarray) -> None:
+        sure = np.where(hit, np.minimum((entry & 7) + 1, 7), 1)
+        self.last[slot] = symbol << 3 | sure  # of equal slots the last lane counts
 
     def _mix(self) -> None:
-        n0 = self.n1.sum(axis=1)
-        self.p0, self.p1, self.p2 = ((n + 0.4) / (n.sum(axis=-1, keepdims=True) + 1.2) for n in (n0, self.n1, self.n2))
         w = self.score * self.score
-        w /= w.sum(axis=1, keepdims=True)
-        p = self.p0[:, None, :2] * w[:, 0, None, None] + self.p1[:, _OF_1, :2] * w[:, 1, None, None] + self.p2[:, _OF_2, :2] * w[:, 2, None, None]
-        f = (p * ((1 << _CLASS_BITS) - 3)).astype(np.int64) + 1
-        self.b0 = f[:, :, 0].astype(_U).ravel()
-        self.b1 = (f[:, :, 0] + f[:, :, 1]).astype(_U).ravel()
+        w = w / w.sum()
+        self.given = [(n + 0.3) / (n.sum(axis=-1, keepdims=True) + 0.9) for n in self.counts]
+        p = sum(x * p for x, p in zip(w, self.given, strict=True))
+        f = (p * ((1 << _KIND_BITS) - 3)).astype(np.int64) + 1
+        self.edge0 = f[..., 0].ravel().astype(_U) << _U(_PAIR_BITS)
+        self.share1 = f[..., 1].ravel().astype(_U)
 
     def _order0(self) -> None:
-        total = np.maximum(self.seen.sum(axis=1, keepdims=True), 1.0)
-        f = (self.seen * (((1 << _LITERAL_BITS) - 256) / total)).astype(np.int64) + 1
-        f[:, 0] += (1 << _LITERAL_BITS) - f.sum(axis=1)
-        cum = np.zeros((self.lanes, 257), np.int64)
-        np.cumsum(f, axis=1, out=cum[:, 1:])
-        self.cum, self.freq, self.inverse = cum.ravel(), f.ravel(), None
-
-    def digit_at(self, target: np.ndarray) -> np.ndarray:
-        """The upper bits whose share of the order-0 line each target lies in."""
-        if self.inverse is None:
-            self.inverse = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.lanes), self.freq)
-        return self.inverse.take(self.at_inverse + target).astype(np.int64)
-
-    def look(self, prev1: np.ndarray, prev2: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(slot 1, slot 2, entry 1, entry 2, context) after the given ids; lanes are the last axis."""
-        s1 = self.at_slot + (prev1 * 40503 >> 5 & _SLOTS - 1)
-        s2 = self.at_slot + (prev1 * 40503 + prev2 * 30011 >> 4 & _SLOTS - 1)
-        e1, e2 = self.t1.take(s1), self.t2.take(s2)
-        context = (e2 & 3) << 3 | (e1 & 3) << 1 | (e1 >> 2 == e2 >> 2)
-        return s1, s2, e1, e2, context
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, looked: tuple[np.ndarray, ...]) -> None:
-        """Take in a segment: rows are steps, columns lanes."""
-        s1, s2, e1, e2, context = looked
-        for table, slot, entry in ((self.t1, s1, e1), (self.t2, s2, e2)):
-            sure = np.where(entry >> 2 == ids, np.minimum((entry & 3) + 1, 3), 0)
-            table[slot.ravel()] = ((ids << 2) | sure).ravel().astype(np.int32)  # of equal slots the last step counts
-        place = (self.at_context + context) * 3 + kind
-        seen = np.bincount(place.ravel(), minlength=self.lanes * 96).reshape(self.lanes, 32, 3).astype(float)
-        m1, m2 = np.zeros_like(self.n1), np.zeros_like(self.n2)
-        for c in range(32):
-            m1[:, _OF_1[c]] += seen[:, c]
-            m2[:, _OF_2[c]] += seen[:, c]
-        gave = ((m1.sum(axis=1) * self.p0).sum(axis=1), (m1 * self.p1).sum(axis=(1, 2)), (m2 * self.p2).sum(axis=(1, 2)))
-        self.score = self.score * 0.8 + np.stack(gave, axis=1)
-        self.n1, self.n2 = self.n1 * 0.9 + m1, self.n2 * 0.9 + m2
+        self.line = np.concatenate([[0], np.cumsum(self.seen * _GAIN + 1)]).astype(_U)
+        self.total = int(self.line[-1])
+
+    def _order1(self) -> None:
+        """Places of the pairs on their contexts' lines, 2**16 long: frequencies blended with the order-0 ones."""
+        if not len(self.pairs):
+            self.at = np.zeros(1, self.key)
+            self.symbol, self.low, self.width = np.zeros(1, np.int64), np.zeros(1, _U), np.ones(1, _U)
+            return
+        context = (self.pairs >> _U(self.bits)).astype(np.int64)
+        symbol = (self.pairs & _U((1 << self.bits) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        many = np.diff(first, append=len(context))
+        if int(many.max()) > _MOST_PAIRS:  # of a wide alphabet: the others of the context stay with order 0
+            keep = np.arange(len(context)) - np.repeat(first, many) < _MOST_PAIRS
+            self.pairs, self.times = self.pairs[keep], self.times[keep]
+            self._order1()
+            return
+        # a context's line is shared by what it has seen, and a little by how frequent its ids are at all
+        common = self.seen[symbol]
+        weight = self.times * 16 + common * np.repeat(many * _BLEND, many) // np.repeat(np.add.reduceat(common, first), many)
+        ends = np.cumsum(weight)
+        base = np.repeat(ends[first] - weight[first], many)
+        sums = np.repeat(np.add.reduceat(weight, first), many)
+        nth = np.arange(len(context)) - np.repeat(first, many)
+        # every pair keeps one place at least
+        free = (1 << _PAIR_BITS) - np.repeat(many, many)
+        low = (ends - weight - base) * free // sums + nth
+        high = (ends - base) * free // sums + nth + 1
+        high[first + many - 1] = 1 << _PAIR_BITS
+        self.symbol, self.low, self.width = symbol, low.astype(_U), (high - low).astype(_U)
+        self.at = ((context << _PAIR_BITS) | low).astype(self.key)
+
+    def sorted_keys(self, symbols: np.ndarray, prev1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair keys of a run in rising order, their places in the run): few enough to carry the place in the same word."""
+        packed = (((prev1 << self.bits) | symbols).ravel() << 17 | np.arange(symbols.size)).astype(_U)
+        packed.sort()
+        return packed >> _U(17), (packed & _U((1 << 17) - 1)).astype(np.int64)
+
+    def learn(self, symbols: np.ndarray, kind: np.ndarray, sure: np.ndarray, prev1: np.ndarray, found: np.ndarray) -> None:
+        """Take in a run, whose sorted pair keys are ``found``: rows are steps, columns lanes."""
+        place = (sure * _BUCKETS + self.bucket.take(prev1)) * 3 + kind
+        new = np.bincount(place.ravel(), minlength=_SURE * _BUCKETS * 3).reshape(_SURE, _BUCKETS, 3).astype(float)
+        news = (new.sum(axis=(0, 1), keepdims=True), new.sum(axis=0, keepdims=True), new.sum(axis=1, keepdims=True), new)
+        gave = np.array([(n * p).sum() for n, p in zip(news, self.given, strict=True)])
+        self.score = self.score * 0.5 + gave / symbols.size
+        self.counts = [c * 0.9 + n for c, n in zip(self.counts, news, strict=True)]
         self._mix()
-        new = kind == 2
-        where = np.broadcast_to(self.lane, ids.shape)[new] * 256 + (ids[new] >> self.shift)
-        self.seen += np.bincount(where, minlength=self.lanes * 256).reshape(self.lanes, 256)
-        self.prev2 = ids[-2].copy() if len(ids) > 1 else self.prev1
-        self.prev1 = ids[-1].copy()
-        self.steps += len(ids)
-        if self.steps % REFRESH == 0:
-            self._order0()
+        self.seen += np.bincount(symbols.ravel(), minlength=self.size)
+        self._order0()
+        self.follows += np.bincount(prev1.ravel(), minlength=self.size)
+        self.bucket = np.minimum(np.frexp(self.follows.astype(float))[1], _BUCKETS - 1).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        fresh, times = found[first], np.diff(first, append=len(found))
+        place = np.searchsorted(self.pairs, fresh)
+        known = np.zeros(len(fresh), bool)
+        inside = place < len(self.pairs)
+        known[inside] = self.pairs[place[inside]] == fresh[inside]
+        self.times[place[known]] += times[known]
+        self.pairs, self.times = np.insert(self.pairs, place[~known], fresh[~known]), np.insert(self.times, place[~known], times[~known])
+        self._order1()
 
 
 class _Writer:
@@ -141,158 +179,210 @@ class _Writer:
         if len(short):
             self._emit(short)
 
-    def finish(self) -> list[bytes]:
+    def code_some(self, who: np.ndarray, start: np.ndarray, freq: np.ndarray, total: int) -> None:
+        unit = self.range[who] // _U(total)
+        self.low[who] += unit * start
+        size = unit * freq
+        self.range[who] = size
+        short = who[size < _FULL]
+        if len(short):
+            self._emit(short)
+
+    def finish(self) -> bytes:
+        """Words per lane, then the words, a lane after the other; one last word tells a lane's interval from all others."""
         everyone = np.arange(len(self.low))
-        for _ in range(2):
-            self._emit(everyone)
-        return [np.ascontiguousarray(self.words[:n, i]).astype("<u4").tobytes() for i, n in enumerate(self.n.tolist())]
+        self.low += _LOW  # the interval is at least 2**32 long: the next whole word is inside
+        self._emit(everyone)
+        rows = np.arange(int(self.n.max()))[None, :] < self.n[:, None]
+        return self.n.astype("<u4").tobytes() + np.ascontiguousarray(self.words[: rows.shape[1]].T)[rows].astype("<u4").tobytes()
 
 
 class _Reader:
-    def __init__(self, payloads: list[bytes]) -> None:
-        lanes = len(payloads)
+    def __init__(self, lanes: int, data: bytes) -> None:
+        n = np.frombuffer(data, "<u4", lanes).astype(np.int64)
+        flat = np.frombuffer(data, "<u4", offset=4 * lanes)
+        if int(n.sum()) != len(flat):
+            raise ValueError("a block of a token file is cut off")
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        self.words = np.zeros((max(len(p) for p in payloads) // 4 + 2, lanes), _U)
-        for i, p in enumerate(payloads):
-            self.words[: len(p) // 4, i] = np.frombuffer(p, "<u4")
+        words = np.zeros((lanes, int(n.max()) + 2), _U)  # nought follows the last word
+        words[np.arange(words.shape[1])[None, :] < n[:, None]] = flat
+        self.words = np.ascontiguousarray(words.T)
         self.value, self.n = (self.words[0] << _WORD) | self.words[1], np.full(lanes, 2)
 
-    def unit(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(length of a part, distance of the value from the interval's start)."""
-        return self.range >> _U(bits), self.value - self.low
+    def _fill(self, who: np.ndarray, size: np.ndarray) -> None:
+        low, n = self.low[who], self.n[who]
+        self.range[who] = np.minimum(size, _FULL - (low & _LOW)) << _WORD
+        self.low[who] = low << _WORD
+        self.value[who] = (self.value[who] << _WORD) | self.words[np.minimum(n, len(self.words) - 1), who]
+        self.n[who] = n + 1
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         self.low += start
         self.range = size
         who = np.flatnonzero(size < _FULL)
         if len(who):
-            low, n = self.low[who], self.n[who]
-            self.range[who] = np.minimum(size[who], _FULL - (low & _LOW)) << _WORD
-            self.low[who] = low << _WORD
-            self.value[who] = (self.value[who] << _WORD) | self.words[np.minimum(n, len(self.words) - 1), who]
-            self.n[who] = n + 1
+            self._fill(who, size[who])
 
+    def take_some(self, who: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.low[who] += start
+        self.range[who] = size
+        short = size < _FULL
+        if short.any():
+            self._fill(who[short], size[short])
 
-def _shift(bits: int) -> int:
-    return max(0, bits - 8)
 
+def _shape(count: int) -> tuple[int, int]:
+    """(lanes, steps) of a block."""
+    lanes = max(1, min(LANES, count // LANE_IDS))
+    return lanes, -(-count // lanes)
+
+
+def _run(done: int, lanes: int, steps: int) -> int:
+    """Steps until the model learns next."""
+    return max(1, min(done // 2, MOST_IDS // lanes, steps - done))
 
-def _encode(ids: np.ndarray, bits: int) -> list[bytes]:
-    """Payloads of blocks, the rows of ``ids``, all equally long."""
-    shift = _shift(bits)
-    model, writer = _Model(len(ids), shift), _Writer(len(ids))
-    steps = np.ascontiguousarray(ids.T).astype(np.int64)
-    whole, literal = _U(1 << _CLASS_BITS), _LITERAL_BITS + shift
-    for at in range(0, len(steps), SEGMENT):
-        now = steps[at : at + SEGMENT]
-        before = np.concatenate([model.prev2[None], model.prev1[None], now])
-        looked = model.look(before[1:-1], before[:-2])
-        _, _, e1, e2, context = looked
-        kind = np.where(e2 >> 2 == now, 0, np.where(e1 >> 2 == now, 1, 2))
-        b0, b1 = model.b0.take(model.at_context + context), model.b1.take(model.at_context + context)
-        start = np.where(kind == 0, _U(0), np.where(kind == 1, b0, b1))
-        freq = np.where(kind == 0, b0, np.where(kind == 1, b1, whole)) - start
-        place = model.at_digit + (now >> shift)
-        low, width = model.cum.take(place), model.cum.take(place + 1)
-        width -= low
-        new = kind == 2
-        first = np.where(new, (low << shift) + (now & (1 << shift) - 1) * width, 0).astype(_U)
-        many = np.where(new, width, 1 << literal).astype(_U)
-        for t in range(len(now)):
-            writer.code(start[t], freq[t], _CLASS_BITS)
-            writer.code(first[t], many[t], literal)
-        model.learn(now, kind, looked)
-    return writer.finish()
-
-
-def _decode(payloads: list[bytes], length: int, bits: int) -> np.ndarray:
-    shift = _shift(bits)
-    lanes = len(payloads)
-    model, reader = _Model(lanes, shift), _Reader(payloads)
-    out = np.empty((length, lanes), np.int64)
-    literal, most = _LITERAL_BITS + shift, _U((1 << _LITERAL_BITS + shift) - 1)
-    for at in range(0, length, SEGMENT):
-        looks, kinds = [], []
-        prev1, prev2 = model.prev1, model.prev2
-        for t in range(at, min(at + SEGMENT, length)):
-            look = model.look(prev1, prev2)
-            _, _, e1, e2, context = look
-            place = model.at_context + context
-            unit, value = reader.unit(_CLASS_BITS)
-            b0, b1 = unit * model.b0.take(place), unit * model.b1.take(place)
-            past0, past1 = value >= b0, value >= b1
-            kind = past0.astype(np.int64) + past1
-            start = np.where(past1, b1, np.where(past0, b0, _U(0)))
-            reader.take(start, np.where(past1, unit << _U(_CLASS_BITS), np.where(past0, b1, b0)) - start)
-            unit, value = reader.unit(literal)
-            target = np.minimum(value // unit, most).astype(np.int64)
-            digit = model.digit_at(target >> shift)
-            place = model.at_digit + digit
-            low = model.cum.take(place)
-            width = model.cum.take(place + 1) - low
-            rest = (target - (low << shift)) // width
-            new = kind == 2
-            start = np.where(new, (low << shift) + rest * width, 0).astype(_U)
-            reader.take(unit * start, unit * np.where(new, width, 1 << literal).astype(_U))
-            now = np.where(new, digit << shift | rest, np.where(past0, e1, e2) >> 2).astype(np.int64)
-            out[t] = now
-            looks.append(look)
-            kinds.append(kind)
-            prev1, prev2 = now, prev1
-        looked = tuple(np.stack(x) for x in zip(*looks, strict=True))
-        model.learn(out[at : at + SEGMENT], np.stack(kinds), looked)
-    return out.T.astype(np.uint32)
 
+def _raw_bits(shift: int) -> list[int]:
+    return [16] * (shift // 16) + ([shift % 16] if shift % 16 else [])
 
-def bits_for(largest: int) -> int:
-    return max(1, int(largest).bit_length())
+
+def _encode(ids: np.ndarray) -> bytes:
+    lanes, steps = _shape(len(ids))
+    shift = max(0, int(ids.max()).bit_length() - SYMBOL_BITS)
+    whole = np.zeros(lanes * steps, np.int64)
+    whole[: len(ids)] = ids
+    whole = np.ascontiguousarray(whole.reshape(lanes, steps).T)
+    symbols, largest = whole >> shift, int(ids.max()) >> shift
+    model, writer = _Model(lanes, largest), _Writer(lanes)
+    done = 0
+    while done < steps:
+        run = _run(done, lanes, steps)
+        now = symbols[done : done + run]
+        before = np.concatenate([model.prev2[None], model.prev1[None], now])
+        prev1, slots = before[1:-1], model.slot(before[1:-1], before[:-2])
+        sure, hit2 = np.empty(now.shape, np.int64), np.empty(now.shape, bool)
+        for t in range(run):
+            entry = model.last.take(slots[t])
+            sure[t] = entry & 7
+            hit2[t] = (entry >> 3 == now[t]) & (sure[t] > 0)
+            model.remember(slots[t], entry, now[t], hit2[t])
+        found, where = model.sorted_keys(now, prev1)
+        place = np.empty(now.shape, np.int64)
+        place.ravel()[where] = np.searchsorted(model.pairs, found)
+        hit1 = np.zeros(now.shape, bool)
+        if len(model.pairs):
+            np.minimum(place, len(model.pairs) - 1, out=place)
+            hit1.ravel()[where] = model.pairs.take(place.ravel()[where]) == found
+        else:
+            place[:] = 0
+        kind = np.where(hit2, 0, np.where(hit1, 1, 2))
+        context = sure * _BUCKETS + model.bucket.take(prev1)
+        edge0, share1 = model.edge0.take(context), model.share1.take(context)
+        edge1 = edge0 + (share1 << _U(_PAIR_BITS))
+        one = kind == 1
+        start = np.where(hit2, _U(0), np.where(one, edge0 + share1 * model.low.take(place), edge1))
+        freq = np.where(hit2, edge0, np.where(one, share1 * model.width.take(place), _PARTS - edge1))
+        for t in range(run):
+            writer.code(start[t], freq[t], _BITS)
+            who = np.flatnonzero(kind[t] == 2)
+            if len(who):
+                new = now[t][who]
+                writer.code_some(who, model.line.take(new), model.line.take(new + 1) - model.line.take(new), model.total)
+            at = shift
+            for bits in _raw_bits(shift):
+                at -= bits
+                writer.code((whole[done + t] >> at & (1 << bits) - 1).astype(_U), np.ones(lanes, _U), bits)
+        model.prev1, model.prev2 = now[-1], before[-2]
+        model.learn(now, kind, sure, prev1, found)
+        done += run
+    return _BLOCK.pack(shift, lanes, largest) + writer.finish()
+
+
+def _decode(payload: bytes, count: int) -> np.ndarray:
+    shift, lanes, largest = _BLOCK.unpack_from(payload)
+    steps = -(-count // lanes)
+    model, reader = _Model(lanes, largest), _Reader(lanes, payload[_BLOCK.size :])
+    symbols, whole = np.empty((steps, lanes), np.int64), np.zeros((steps, lanes), np.int64)
+    kinds, sures, prevs = (np.empty((steps, lanes), np.int64) for _ in range(3))
+    most, done = _PARTS - _U(1), 0
+    prev1, prev2 = model.prev1, model.prev2
+    while done < steps:
+        run = _run(done, lanes, steps)
+        for t in range(done, done + run):
+            slot = model.slot(prev1, prev2)
+            entry = model.last.take(slot)
+            sure = entry & 7
+            context = sure * _BUCKETS + model.bucket.take(prev1)
+            unit = reader.range >> _U(_BITS)
+            edge0, share1 = model.edge0.take(context), model.share1.take(context)
+            edge1 = edge0 + (share1 << _U(_PAIR_BITS))
+            part = np.minimum((reader.value - reader.low) // unit, most)
+            past0, past1 = part >= edge0, part >= edge1
+            # below 2**28 over below 2**12: the rounded quotient has the right whole part; other kinds have no target
+            target = np.where(past1, _U(0), part - np.minimum(edge0, part)).astype(float) / share1.astype(float)
+            place = np.searchsorted(model.at, ((prev1 << _PAIR_BITS) | target.astype(np.int64)).astype(model.key), "right") - 1
+            first = np.where(past1, edge1, edge0 + share1 * model.low.take(place))
+            size = np.where(past1, _PARTS - edge1, share1 * model.width.take(place))
+            reader.take(unit * np.where(past0, first, _U(0)), unit * np.where(past0, size, edge0))
+            now = np.where(past0, model.symbol.take(place), entry >> 3)
+            who = np.flatnonzero(past1)
+            if len(who):
+                unit = reader.range[who] // _U(model.total)
+                target = np.minimum((reader.value[who] - reader.low[who]) // unit, _U(model.total - 1))
+                new = np.searchsorted(model.line, target, "right") - 1
+                low = model.line.take(new)
+                reader.take_some(who, unit * low, unit * (model.line.take(new + 1) - low))
+                now[who] = new
+            model.remember(slot, entry, now, ~past0)
+            symbols[t], kinds[t], sures[t], prevs[t] = now, past0.astype(np.int64) + past1, sure, prev1
+            whole[t] = now
+            for bits in _raw_bits(shift):
+                unit = reader.range >> _U(bits)
+                low = np.minimum((reader.value - reader.low) // unit, _U((1 << bits) - 1))
+                reader.take(unit * low, unit)
+                whole[t] = whole[t] << bits | low.astype(np.int64)
+            prev1, prev2 = now, prev1
+        part = slice(done, done + run)
+        found, _ = model.sorted_keys(symbols[part], prevs[part])
+        model.learn(symbols[part], kinds[part], sures[part], prevs[part], found)
+        done += run
+    return whole.T.reshape(-1)[:count].astype("<u4")
 
 
 def frame(kind: int, count: int, crc: int, payload: bytes) -> bytes:
-    return _HEAD.pack(MAGIC, 1, kind, count, crc) + payload
+    return _HEAD.pack(MAGIC, 2, kind, count, crc) + payload
 
 
 def unframe(data: bytes) -> tuple[int, int, int, bytes]:
     """(kind, count, crc, payload)."""
+    if len(data) < _HEAD.size:
+        raise ValueError("not a frame of a token file")
     magic, version, kind, count, crc = _HEAD.unpack_from(data)
-    if magic != MAGIC or version != 1:
+    if magic != MAGIC or version != 2:
         raise ValueError("not a frame of a token file")
     return kind, count, crc, data[_HEAD.size :]
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Frames of consecutive blocks of ``BLOCK_IDS`` ids, the last one shorter."""
-    frames = []
+    """Frames of consecutive blocks of at most ``BLOCK_IDS`` ids, all about equally long."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
-    whole = len(ids) // BLOCK_IDS
-    shapes = [ids[: whole * BLOCK_IDS].reshape(whole, BLOCK_IDS)] if whole else []
-    if len(ids) % BLOCK_IDS:
-        shapes.append(ids[None, whole * BLOCK_IDS :])
-    for rows in shapes:
-        for at in range(0, len(rows), LANES):
-            part = rows[at : at + LANES]
-            bits = bits_for(part.max())
-            payloads = _encode(part, bits)
-            frames += [frame(BLOCK, part.shape[1], zlib.crc32(row.tobytes()), bytes([bits]) + p) for row, p in zip(part, payloads, strict=True)]
-    return frames
+    parts = np.array_split(ids, -(-len(ids) // BLOCK_IDS)) if len(ids) else []
+    return [frame(BLOCK, len(part), zlib.crc32(part.tobytes()), _encode(part)) for part in parts]
 
 
 def decode_blocks(frames: list[bytes]) -> np.ndarray:
     """Ids of block frames, in order; raises where a checksum does not match."""
-    parts = [unframe(f) for f in frames]
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(parts)
-    groups: dict[tuple[int, int], list[int]] = {}
-    for i, (_, count, _, payload) in enumerate(parts):
-        groups.setdefault((count, payload[0]), []).append(i)
-    for (count, bits), who in groups.items():
-        for at in range(0, len(who), LANES):
-            lanes = who[at : at + LANES]
-            got = _decode([parts[i][3][1:] for i in lanes], count, bits).astype("<u4")
-            for i, row in zip(lanes, got, strict=True):
-                if zlib.crc32(row.tobytes()) != parts[i][2]:
-                    raise ValueError("a block of a token file does not match its checksum")
-                out[i] = row
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+    out = [np.empty(0, "<u4")]
+    for data in frames:
+        _, count, crc, payload = unframe(data)
+        try:
+            got = _decode(payload, count)
+        except (IndexError, struct.error) as e:  # ids that no encoder wrote
+            raise ValueError("a block of a token file does not match its checksum") from e
+        if zlib.crc32(got.tobytes()) != crc:
+            raise ValueError("a block of a token file does not match its checksum")
+        out.append(got)
+    return np.concatenate(out)
 
 
 def encode_index(doc_ids: np.ndarray, missing: np.ndarray, counts: np.ndarray) -> bytes:

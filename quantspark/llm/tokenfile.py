@@ -24,7 +24,8 @@ from .storage import materialise, new_path, small_batches
 from .tokens import Encoder
 
 FRAMES = "shard int, frame long, kind int, n_ids long, data binary"
-GROUP_IDS = 1 << 21
+#: Plan size of the input, in bytes, that one shard takes at most.
+SHARD_BYTES = 64 << 20
 
 
 def _write(path: str, end_id: int):
@@ -58,7 +59,7 @@ def _write(path: str, end_id: int):
                 doc_id = batch.column("doc_id")
                 held.append((doc_id.fill_null(0).to_numpy(), np.asarray(doc_id.is_null()), counts + 1, ids))
                 size += len(ids)
-                if size >= GROUP_IDS:
+                if size >= coder.BLOCK_IDS * 3 // 4:
                     yield flush()
         if held:
             yield flush()
@@ -70,7 +71,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     """Encode ``docs`` (doc_id, text) into token files under ``path``."""
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # noqa: SLF001
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // SHARD_BYTES, 1 << 20))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = [F.asc_nulls_last("doc_id"), F.asc("text")]
     placed = text.repartitionByRange(shards, order[0]).sortWithinPartitions(*order)
@@ -83,11 +85,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def group() -> pa.RecordBatch:
         nonlocal at
         doc_ids, missing, counts = index
-        ids = coder.decode_blocks(blocks).astype("<u4")
+        ids = coder.decode_blocks(blocks)
         cuts = np.concatenate([[0], np.cumsum(counts)])
-        parts = [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(cuts * 4), pa.py_buffer(ids)])
         out = pa.record_batch(
-            [pa.array([shard] * len(counts), pa.int32()), pa.array(doc_ids, mask=missing), pa.array(at + cuts[:-1]), pa.array(counts), pa.array(parts, pa.binary())],
+            [pa.array([shard] * len(counts), pa.int32()), pa.array(doc_ids, mask=missing), pa.array(at + cuts[:-1]), pa.array(counts), parts.cast(pa.binary())],
             ["shard", "doc_id", "local", "n_tokens", "ids"],
         )
         at += int(cuts[-1])
@@ -117,10 +119,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     # a row per shard: as many as there are files
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = materialise(sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "token-bases")
-    shards = max(1, base.count())
-    rank = {r["shard"]: i for i, r in enumerate(base.select("shard").orderBy("shard").collect())}
-    place = F.create_map(*[x for s, i in rank.items() for x in (F.lit(s), F.lit(i))])[F.col("shard")] if rank else F.lit(0)
-    ordered = frames.repartitionById(shards, place.cast("int")).sortWithinPartitions("shard", "frame")
+    shards = (base.agg(F.max("shard")).first()[0] or 0) + 1
+    ordered = frames.repartitionById(shards, "shard").sortWithinPartitions("shard", "frame")
     docs = ordered.select("shard", "data").mapInArrow(_read, "shard int, doc_id long, local long, n_tokens long, ids binary")
     joined = docs.join(base, "shard")
     return joined.select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,18 +48,49 @@ def test_coder_round_trip(ids, repeat):
     assert (coder.decode_blocks(coder.encode_blocks(ids)) == ids).all()
 
 
-def test_coder_predicts_and_checks():
+def test_coder_predicts_and_checks(monkeypatch):
+    monkeypatch.setattr(coder, "BLOCK_IDS", 4000)
     ids = np.tile(np.arange(300, dtype=np.uint32) * 97, 40)
     frames = coder.encode_blocks(ids)
-    assert sum(map(len, frames)) < 1.2 * len(ids)  # repeated contexts cost less than plain 16-bit ids
-    broken = bytearray(frames[1])
-    broken[40] ^= 1
+    assert len(frames) == 3 and sum(map(len, frames)) < 1.2 * len(ids)  # repeated contexts cost less than plain 16-bit ids
+    for at in (40, len(frames[1]) - 9, 20):
+        broken = bytearray(frames[1])
+        broken[at] ^= 1
+        with pytest.raises(ValueError):
+            coder.decode_blocks([frames[0], bytes(broken)])
     with pytest.raises(ValueError):
-        coder.decode_blocks([frames[0], bytes(broken)])
+        coder.decode_blocks([frames[0][:-4]])
     with pytest.raises(ValueError):
         coder.unframe(b"nothing of the kind")
-    alone = coder.decode_blocks(frames[2:3])  # blocks are independent
-    assert (alone == ids[2 * coder.BLOCK_IDS : 3 * coder.BLOCK_IDS]).all()
+    alone = coder.decode_blocks(frames[2:])  # blocks are independent
+    assert (alone == ids[8000:]).all()
+
+
+def test_coder_beats_order_0_on_text():
+    """Below the order-0 entropy of the same ids, for which a coder would have to know their frequencies beforehand."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids, counts = Encoder.of(tokenizer_file("word_bpe_49k.json"), spaces=False).encode(texts)
+    ids = np.insert(ids, np.cumsum(counts), 2)
+    frames = coder.encode_blocks(ids)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * sum(map(len, frames)) / len(ids) < 0.85 * -(share * np.log2(share)).sum()
+    assert (coder.decode_blocks(frames) == ids).all()
+
+
+@pytest.mark.parametrize("largest", [0, 1, 65535, 65536, (1 << 18) - 1, 1 << 18, (1 << 32) - 1])
+def test_coder_alphabets(largest):
+    """Wide alphabets need 64-bit pairs; beyond 18 bits the lower bits are written as they are."""
+    rng = np.random.default_rng(largest % 97)
+    ids = np.minimum(rng.geometric(1e-3, 6000).astype(np.uint64) * np.uint64(1 + largest // 5000), np.uint64(largest)).astype(np.uint32)
+    ids[17] = largest
+    assert (coder.decode_blocks(coder.encode_blocks(ids)) == ids).all()
+
+
+def test_coder_context_with_every_pair():
+    """A context whose pairs fill much of its line, next to very frequent ones."""
+    ids = np.zeros(120_000, np.uint32)
+    ids[1::2] = np.arange(60_000) % 40_000
+    assert (coder.decode_blocks(coder.encode_blocks(ids)) == ids).all()
 
 
 def test_token_files(spark):
