@@ -71,7 +71,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     """Encode ``docs`` (doc_id, text) into token files under ``path``."""
     spark = docs.sparkSession
     small_batches(spark)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # noqa: SLF001
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // SHARD_BYTES, 1 << 20))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = [F.asc_nulls_last("doc_id"), F.asc("text")]
