@@ -1,8 +1,8 @@
 r"""Language identification with spans of mixed-language text.
 
 Training: per language, at most ``per_lang`` labelled documents (those with the smallest hash of their id, so the sample
-is the same everywhere) give counts of byte n-grams of words; the n-grams are hashed into a table of smoothed
-log-probabilities, ``2**BITS`` rows however large the corpus.  The scripts that make up a language's letters are kept.
+is the same everywhere) give counts of byte n-grams of words, which executors count; the n-grams are hashed into a table of
+smoothed log-probabilities, ``2**BITS`` rows however large the corpus.  The scripts that make up a language's letters are kept.
 
 Prediction: the scripts of a word's letters narrow its candidate languages.  Every word gets a score per candidate, the
 mean n-gram log-likelihood ratio times a confidence that grows with its length.  Viterbi over the words, with a penalty
@@ -15,27 +15,30 @@ stand in words some fitting language is likely to have made.  A word is likely i
 that of the language's own training texts than to that of the same texts with their letters shuffled.
 
 All words of a batch are scored at once by numpy; Viterbi runs in lockstep over texts.  Texts longer than ``CHUNK`` words are
-labelled in chunks, whose spans are joined, so that one very long text does not become one very long loop.
+labelled in chunks, together with ``OVERLAP`` words around each, so that one very long text does not become one very long loop.
 
 Defined results: null texts and texts without letters are ``und`` with score and coverage 0; words without letters score 0 for
 every language and take the label of their neighbours; if no learned language fits the scripts of any word, the most
-frequent learned language is returned with score 0; ties go to the language that sorts first; null doc_ids never train.
+frequent learned language is returned with score 0; ties go to the language that sorts first; null doc_ids never train, and of
+training rows that repeat an id one counts; input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel
-from .storage import small_batches
+from .storage import dispose, materialise, reserve, small_batches
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -44,6 +47,10 @@ CHUNK = 1024
 PER_LANG = 1500
 #: Training texts of each language, as they are and with their letters shuffled, that tell likely words from noise.
 NOISE_TEXTS = 100
+#: With more languages, a row for each is not broadcast.
+MOST_LANGS = 10_000
+#: Words on both sides of a chunk that its labels are found with.
+OVERLAP = 64
 #: First and last code point of the letter blocks of common scripts; other letters are one more script.
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x0370, 0x03FF), ("greek", 0x1F00, 0x1FFF),
@@ -205,7 +212,17 @@ def judge(column: pa.Array, model: Model) -> tuple[list[str], list[float], list[
     nth = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
     begin = words.ptr[:-1][row] + nth * CHUNK
     size = np.minimum(CHUNK, words.ptr[1:][row] - begin)
-    labels = viterbi(scores, begin, size)
+    # a chunk of a long text is labelled with the words around it, which then keep the labels of their own chunks
+    low, high = np.maximum(begin - OVERLAP, words.ptr[:-1][row]), np.minimum(begin + size + OVERLAP, words.ptr[1:][row])
+    wide = high - low
+    first = np.cumsum(wide) - wide
+    if len(row) and int(wide.sum()) > len(scores):
+        at = np.repeat(low - first, wide) + np.arange(int(wide.sum()))
+        found = viterbi(scores[at], first, wide)
+        inside = (at >= np.repeat(begin, wide)) & (at < np.repeat(begin + size, wide))
+        labels = found[inside]
+    else:
+        labels = viterbi(scores, begin, size)
     shift = scores - scores.max(axis=1, keepdims=True) if len(scores) else scores
     posterior = np.exp(shift) / np.exp(shift).sum(axis=1, keepdims=True) if len(scores) else scores
     owner = words.row()
@@ -247,71 +264,136 @@ def _shuffled(text: str, rng: np.random.Generator) -> str:
     return points.tobytes().decode("utf-32-le")
 
 
-def _least(rows: list[tuple[str, str]], langs: tuple[str, ...], table: np.ndarray) -> np.ndarray:
-    """Per language, the middle between the mean log-probabilities of its texts and of their shuffled letters."""
-    rng = np.random.default_rng(7)
-    out = np.zeros(len(langs), dtype=np.float32)
-    for j, lang in enumerate(langs):
-        texts = [t for other, t in rows if other == lang][:NOISE_TEXTS]
-        for some in (texts, [_shuffled(t, rng) for t in texts]):
-            words = kernel.words_of(pa.array(some, pa.string()))
-            letters, _ = _letters(words.data, words)
-            _, logs = _word_means(words, table[:, [j, -1]])
-            out[j] += (logs[:, 0] * letters).sum() / max(letters.sum(), 1) / 2
+def count_grams(texts: pa.Array) -> np.ndarray:
+    """How often each of the 2**BITS n-gram slots occurs in the texts and, behind them, the letters of words in each script."""
+    words = kernel.words_of(texts)
+    out = np.zeros((1 << BITS) + 32, np.int64)
+    for slots in _gram_slots(words.data, words):
+        out[: 1 << BITS] += np.bincount(slots, minlength=1 << BITS)
+    letters, bits = _letters(words.data, words)
+    for bit in range(32):
+        out[(1 << BITS) + bit] = letters[(bits >> np.uint32(bit)) & np.uint32(1) == 1].sum()
     return out
 
 
+def noise_sums(text: str, table: np.ndarray) -> tuple[float, float, int, int]:
+    """Log-probabilities, weighted by letters, of a text and of its shuffled letters under one language; both weights."""
+    out = []
+    for one in (text, _shuffled(text, np.random.default_rng(zlib.crc32(text.encode())))):
+        words = kernel.words_of(pa.array([one], pa.string()))
+        letters, _ = _letters(words.data, words)
+        _, logs = _word_means(words, table)
+        out.append((float((logs[:, 0] * letters).sum()), int(letters.sum())))
+    return out[0][0], out[1][0], out[0][1], out[1][1]
+
+
+def _table(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log-probabilities, a column for each language, as ratios to their mean, which is the last column."""
+    share = (counts + 0.5) / (counts.sum(axis=0, keepdims=True) + 0.5 * len(counts))
+    logs = np.log(share)
+    mean = logs.mean(axis=1, keepdims=True)
+    return np.concatenate([logs - mean, mean], axis=1).astype(np.float32)
+
+
+def _scripts(letters: np.ndarray) -> int:
+    """Bits of the scripts that hold a fifth of a language's letters."""
+    return sum(1 << bit for bit in range(32) if letters.sum() and letters[bit] >= 0.2 * letters.sum())
+
+
+def model_of(langs: tuple[str, ...], known: list[int], counts: np.ndarray) -> Model:
+    """Model of languages in rising order from their texts' counts (:func:`count_grams`, a column each); ``least`` is still 0."""
+    scripts = np.array([_scripts(counts[1 << BITS :, j]) for j in range(len(langs))], np.uint32)
+    return Model(langs, _table(counts[: 1 << BITS]), scripts, int(np.argmax(known)) if known else 0, np.zeros(len(langs), np.float32))
+
+
+def _with_least(model: Model, sums: dict[str, tuple[float, float, int, int]]) -> Model:
+    """``least``: the middle between the mean log-probabilities of the texts and of their shuffled letters."""
+    least = [sum(x / max(n, 1) for x, n in zip(sums[lang][:2], sums[lang][2:], strict=True)) / 2 for lang in model.langs]
+    return replace(model, least=np.array(least, np.float32))
+
+
 def train(rows: list[tuple[str, str]]) -> Model:
-    """Model of (lang, text) rows."""
+    """Model of (lang, text) rows in memory; :func:`fit` does the same on executors."""
     langs = tuple(sorted({lang for lang, _ in rows}))
+    texts = {lang: sorted(t for other, t in rows if other == lang) for lang in langs}
     if not langs:
         return Model((), np.zeros((1 << BITS, 1), np.float32), np.zeros(0, np.uint32), 0, np.zeros(0, np.float32))
-    counts = np.zeros((1 << BITS, len(langs)))
-    scripts = np.zeros(len(langs), dtype=np.uint32)
-    for j, lang in enumerate(langs):
-        letters: dict[int, int] = {}
-        for at in range(0, len(rows), 500):
-            texts = pa.array([t for other, t in rows[at : at + 500] if other == lang], pa.string())
-            if not len(texts):
-                continue
-            words = kernel.words_of(texts)
-            for slots in _gram_slots(words.data, words):
-                counts[:, j] += np.bincount(slots, minlength=1 << BITS)
-            n, bits = _letters(words.data, words)
-            for bit in range(32):
-                letters[bit] = letters.get(bit, 0) + int(n[(bits >> np.uint32(bit)) & np.uint32(1) == 1].sum())
-        total = sum(letters.values())
-        scripts[j] = sum(1 << bit for bit, n in letters.items() if total and n >= 0.2 * total)
-    share = (counts + 0.5) / (counts.sum(axis=0, keepdims=True) + 0.5 * len(counts))
-    logs = np.log(share)
-    mean = logs.mean(axis=1, keepdims=True)
-    table = np.concatenate([logs - mean, mean], axis=1).astype(np.float32)
-    known = [sum(lang == x for x, _ in rows) for lang in langs]
-    return Model(langs, table, scripts, int(np.argmax(known)) if known else 0, _least(rows, langs, table))
+    counts = np.stack([count_grams(pa.array(texts[lang], pa.string())) for lang in langs], axis=1)
+    model = model_of(langs, [len(texts[lang]) for lang in langs], counts)
+    sums = {lang: tuple(map(sum, zip(*(noise_sums(t, model.table[:, [j, -1]]) for t in texts[lang][:NOISE_TEXTS]), strict=True))) for j, lang in enumerate(langs)}
+    return _with_least(model, sums)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3))
 
 
-def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """At most ``per_lang`` labelled rows of each language whose fold is not 1, those with the smallest id hash."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 1)).select("doc_id", "lang")
-    # a hash threshold per language first, at four times what is needed: the ranking then sees a bounded number of rows
-    counts = own.groupBy("lang").agg(F.count("*").alias("c"))
-    counts = counts.select("lang", (F.lit(4.0 * per_lang) / F.col("c")).alias("share"))
-    place = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) + 1) / float(1 << 20)
-    own = own.join(counts, "lang").where(place <= F.col("share")).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(place, F.xxhash64("doc_id"), "doc_id")
-    ids = own.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("doc_id").distinct()
-    # per_lang ids of each language, whatever the number of documents
-    texts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
-    return sorted((r["lang"], r["text"]) for r in texts.select("lang", "text").toLocalIterator())
+def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """lang, n (rank), text: at most ``per_lang`` labelled rows of each language whose fold is not 1, by smallest id hash.
+
+    Of rows that repeat a doc_id and a language one is taken, so that the bound holds for rows, whatever the ids.
+    """
+    h = F.xxhash64("doc_id")
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 1)).select("lang", h.alias("h"), "text")
+    # a hash threshold per language first, at four times what is needed: only a bounded number of rows is shuffled and ranked
+    counts = own.groupBy("lang").agg(F.approx_count_distinct("h").alias("c"))
+    share = materialise(counts.select("lang", (F.lit(4.0 * per_lang) / F.col("c")).alias("share")), "lang-shares")
+    # a row per language; of more, a join by language sends no more than each language's threshold lets through
+    share = F.broadcast(share) if share.count() <= MOST_LANGS else share
+    place = (F.pmod(F.xxhash64("h"), F.lit(1 << 20)) + 1) / float(1 << 20)
+    near = own.join(share, "lang").where(place <= F.col("share"))
+    ids = near.select("lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h")
+    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
+    return near.groupBy("lang", "h").agg(F.min("text").alias("text")).join(ids, ["lang", "h"]).select("lang", "n", "text")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per language, the counts of a task's texts that are not zero."""
+    held: dict[str, np.ndarray] = {}
+    for whole in batches:
+        for batch in kernel.slices(whole, limit=1 << 20):
+            langs = batch.column("lang").to_pylist()
+            for lang in set(langs):
+                texts = batch.column("text").filter(pa.array([x == lang for x in langs]))
+                held[lang] = held.get(lang, 0) + count_grams(texts)
+    for lang, counts in held.items():
+        slots = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array([lang] * len(slots), pa.string()), pa.array(slots), pa.array(counts[slots])], ["lang", "slot", "n"])
+
+
+def _noise(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            rows = [noise_sums(t, model.table[:, [model.langs.index(lang), -1]]) for lang, t in zip(langs, batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.float64(), pa.float64(), pa.int64(), pa.int64())))], ["lang", "a", "b", "m", "n"])
+
+    return run
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """The model of the labelled documents outside fold 1; without any it knows no language."""
-    return train(training_rows(docs, per_lang))
+    """The model of the labelled documents outside fold 1; without any it knows no language.
+
+    Texts stay on the executors: the driver gets the languages' counts of 2**BITS slots.
+    """
+    small_batches(docs.sparkSession)
+    rows = materialise(training_rows(docs, per_lang), "lang-rows")
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = tuple(sorted(known))
+    if not langs:
+        return train([])
+    counts = np.zeros(((1 << BITS) + 32, len(langs)), np.int64)
+    found = rows.select("lang", "text").mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    column = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
+    counts[found.column("slot").to_numpy(), column] = found.column("n").to_numpy()
+    model = model_of(langs, [known[lang] for lang in langs], counts)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    tried = rows.where(F.col("n") <= NOISE_TEXTS).select("lang", "text").mapInArrow(_noise(shared), "lang string, a double, b double, m long, n long")
+    sums = {r["lang"]: tuple(r)[1:] for r in tried.groupBy("lang").agg(*(F.sum(c).alias(c) for c in "abmn")).collect()}
+    dispose(rows)
+    return _with_least(model, sums)
 
 
 def _label(shared):
@@ -327,16 +409,16 @@ def _label(shared):
     return run
 
 
+SPANS = "array<struct<from_word:int,n_words:int,lang:string>>"
+
+
 def identify(docs: DataFrame, per_lang: int = PER_LANG, model: Model | None = None) -> DataFrame:
     """All columns of ``docs`` with qs_lang, qs_score, qs_coverage and qs_spans; the model is trained on ``docs`` unless given."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = reserve(docs, "qs_lang", "qs_score", "qs_coverage", "qs_spans")
     model = model or fit(docs, per_lang)
     if not model.langs:
-        blank = F.lit(None).cast("array<struct<from_word:int,n_words:int,lang:string>>")
-        return docs.select("*", F.lit("und").alias("qs_lang"), F.lit(0.0).alias("qs_score"), F.lit(0.0).alias("qs_coverage"), blank.alias("qs_spans"))
-    from pyspark.sql import types as T
-
-    span = T.ArrayType(T.StructType([T.StructField("from_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("lang", T.StringType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("qs_lang", T.StringType()), T.StructField("qs_score", T.DoubleType()), T.StructField("qs_coverage", T.DoubleType()), T.StructField("qs_spans", span)])
+        return docs.select("*", F.lit("und").alias("qs_lang"), F.lit(0.0).alias("qs_score"), F.lit(0.0).alias("qs_coverage"), F.lit(None).cast(SPANS).alias("qs_spans"))
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"qs_lang string, qs_score double, qs_coverage double, qs_spans {SPANS}").fields])  # noqa: SLF001
     return docs.mapInArrow(_label(spark.sparkContext.broadcast(model)), schema)

@@ -72,6 +72,12 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return out
 
 
+def reserve(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without its own columns of these names (in any case of letters), which a result is about to add."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
 def dispose(*tables: DataFrame) -> None:
     """Delete materialised tables that no later step reads."""
     for table in tables:

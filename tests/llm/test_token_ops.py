@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -203,7 +204,7 @@ def test_viterbi_against_all_paths():
 
 def test_language_query_learns_only_from_its_folds(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
-    rows = langid.training_rows(docs, per_lang=10)
+    rows = [(r["lang"], r["text"]) for r in langid.training_rows(docs, per_lang=10).collect()]
     held = {r["text"] for r in docs.where(langid.fold() == 1).collect()}
     kept = {r["text"] for r in docs.where(langid.fold() != 1).collect()}
     assert rows and all(t in kept for _, t in rows) and not {t for _, t in rows} & (held - kept)
@@ -214,6 +215,57 @@ def test_language_query_learns_only_from_its_folds(spark, sf):
     assert len(langid.identify(long).collect()) == 3 and langid.identify(long.limit(0)).count() == 0
 
 
+def test_training_on_executors_equals_training_in_memory(spark, sf):
+    """Also with one id repeated very often, whose rows count as one, and with null ids, which never train."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.where((langid.fold() != 1) & F.col("lang").isNotNull()).orderBy("doc_id").limit(1)
+    many = one.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3000)))).select("doc_id", F.concat("text", F.col("i").cast("string")).alias("text"), "lang")
+    docs = docs.unionByName(many).unionByName(many.limit(50).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = langid.training_rows(docs).collect()
+    assert len(rows) == docs.where((langid.fold() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id").distinct().count()
+    a, b = langid.fit(docs), langid.train([(r["lang"], r["text"]) for r in rows])
+    assert a.langs == b.langs and a.prior == b.prior and (a.scripts == b.scripts).all() and np.allclose(a.table, b.table)
+
+
+def test_scores_by_brute_force(model):
+    """A document's language and score from their definitions, word by word and over all paths."""
+    texts = ["der Hund und the dog", "le chat noir !!", "über 12 the", "ο σκύλος der"]
+    pred, score, coverage, _ = langid.judge(pa.array(texts), model)
+    n = len(model.langs)
+    for i, text in enumerate(texts):
+        words, letters, scores = langid.word_scores(pa.array([text]), model)
+        paths = np.stack(np.meshgrid(*[range(n)] * len(scores), indexing="ij"), -1).reshape(-1, len(scores))
+        value = scores[np.arange(len(scores)), paths].sum(1) - langid.SWITCH * (np.diff(paths, axis=1) != 0).sum(1)
+        best, trust = paths[value.argmax()], dict.fromkeys(range(n), 0.0)
+        for w, label in enumerate(best):
+            share = np.exp(scores[w, label]) / np.exp(scores[w]).sum()
+            trust[label] += letters[w] * max((share - 1 / n) / (1 - 1 / n), 0)
+        top = max(trust, key=lambda k: (trust[k], -k))
+        assert pred[i] == model.langs[top] and score[i] == pytest.approx(trust[top] / sum(trust.values()), rel=1e-4)
+        assert 0 <= coverage[i] <= 1
+
+
+def test_a_long_text_s_chunks_know_their_neighbours(model, monkeypatch):
+    text = " ".join([SENTENCES["en"], SENTENCES["de"]] * 12)
+    whole = langid.judge(pa.array([text, "the dog"]), model)
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    assert langid.judge(pa.array([text, "the dog"]), model)[3] == whole[3]
+
+
+def test_clashing_columns(spark, model):
+    docs = spark.createDataFrame([(1, "the quick dog", "en", 1, "x", 2)], "doc_id long, text string, lang string, qs_lang int, QS_SPANS string, qs_rid int")
+    got = langid.identify(docs, model=model)
+    assert got.columns == ["doc_id", "text", "lang", "qs_rid", "qs_lang", "qs_score", "qs_coverage", "qs_spans"] and got.first()["qs_lang"] == "en"
+
+
+def test_pipeline_keeps_unlabelled_and_empty_corpora(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.count() == docs.where(F.col("text").rlike(r"\p{L}")).count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     """Each stage on its own input: what the plain definitions say must hold."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
