@@ -8,19 +8,20 @@ doc_id.
    hold a recurring window; the others are not looked at again until the last step.
 2. Confirming: in those texts the windows with a recurring seed are hashed whole; a window found in two documents is
    confirmed, with the smallest document that holds it, its origin.
-3. Automata: the confirmed windows of an origin are merged to maximal passages.  Passages are dealt to shards by origin;
-   every shard compiles the seven-word anchors at every seventh word of its passages into an Aho-Corasick automaton over
-   word numbers (any 13 words of a passage hold a whole anchor), so the size of an automaton is bounded by the shard.
-4. Streaming: each document with a window of an origin streams through the automaton of the origin's shard.  Every
-   anchor found is extended to the left and right word by word, on the words themselves; a run of at least ``width``
-   equal words is an occurrence.  A shard that many documents need is split into parts with the same automaton.
+3. Automata: the confirmed windows of an origin, in lots of at most ``LOT_WINDOWS``, are cut out of its text as passages.  Lots are
+   dealt to shards, and every shard compiles its windows into an Aho-Corasick automaton over word numbers.  A shard has about
+   ``SHARD_WINDOWS`` windows, however long an origin is.
+4. Streaming: a document streams through the automata of those shards that hold a window of it, and through no others, as it
+   cannot match there; sending every document to every shard would cost documents times shards.  The automata find where
+   the windows stand.  A shard that many documents need is split into parts with the same automaton.
 5. The words of all occurrences from origins with a smaller doc_id are removed.
 
 Hashes only choose what is looked at: every removal rests on equal words.  A window is lost only if its 64-bit hash
 collides with that of another window, in an even smaller document.
 
 Defined results: null text has no words; null doc_ids come after every other and are not smaller than each other; rows
-that repeat a doc_id are not compared with one another; an empty table gives an empty result.
+that repeat a doc_id are not compared with one another, and each loses the words that its own text shares with smaller
+documents; such rows, and those without an id, are told apart by ``th``, a hash of their text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ from .storage import dispose, materialise, small_batches
 NO_ID = 9223372036854775807
 WIDTH, GRAM = 13, 5
 #: Letters are limited to 12,288 of each alphabet, so a shard may have 1.5e8 different words.
-SHARD_WORDS = 50_000
+SHARD_WINDOWS, LOT_WINDOWS = 40_000, 10_000
 PART_DOCS = 4000
+#: Up to so many repeated ids are broadcast (8 bytes each).
+MOST_IDS = 1_000_000
 
 
 def _lowest(hashes: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -81,7 +84,7 @@ def _seeds(width: int, gram: int):
         for whole in batches:
             for batch in kernel.slices(whole):
                 seeds, rows = text_seeds(batch.column("text"), width, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), batch.column("rid").take(pa.array(rows))], ["seed", "rid"])
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), *(batch.column(c).take(pa.array(rows)) for c in ("rid", "th"))], ["seed", "rid", "th"])
 
     return run
 
@@ -101,31 +104,30 @@ def _candidates(width: int, gram: int):
                     parts.append(np.unique(found[mine][hit]))
                 sizes = [len(p) for p in parts]
                 values = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), batch.column("rid").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))], ["window", "rid"])
+                take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(batch.column(c).take(take) for c in ("rid", "th"))], ["window", "rid", "th"])
 
     return run
 
 
 def _passages(width: int, gram: int):
-    """The maximal passages of each origin: a line of words for each run of its confirmed windows."""
+    """The passages of a lot of an origin's windows: a line of words for each run of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in kernel.slices(whole, limit=4 << 20):
                 found, _, rows, words, at = window_seeds(batch.column("text"), width, gram)
                 cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-                texts, sizes = [], []
+                texts = []
                 for i, wanted in enumerate(batch.column("own")):
                     first = at[cut[i] : cut[i + 1]][np.isin(found[cut[i] : cut[i + 1]], wanted.values.to_numpy().view(np.uint64))]
                     edges = np.flatnonzero(np.diff(first) != 1) + 1
-                    lines, n = [], 0
+                    lines = []
                     for run_ in np.split(first, edges) if len(first) else []:
                         a, b = int(run_[0]), int(run_[-1]) + width
                         lines.append(b" ".join(words.data[words.start[a] : words.end[b - 1]].tobytes().split()))
-                        n += b - a
                     texts.append(b"\n".join(lines).decode())
-                    sizes.append(n)
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["rid", "text", "n_words"])
+                yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("shard"), pa.array(texts, pa.string())], ["rid", "shard", "text"])
 
     return run
 
@@ -216,39 +218,53 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """rid, th, low, high: word ranges of ``docs`` (rid, th, text) that repeat a passage of a smaller document."""
-    seeds = materialise(docs.select("rid", "text").mapInArrow(_seeds(width, gram), "seed long, rid long"), "phrase-all-seeds")
+    seeds = materialise(docs.mapInArrow(_seeds(width, gram), "seed long, rid long, th long"), "phrase-all-seeds")
     recurring = seeds.groupBy("seed").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x < y").select("seed")
     recurring = materialise(recurring, "phrase-seeds")
-    hits = seeds.join(recurring, "seed").groupBy("rid").agg(F.collect_set("seed").alias("seeds"))
-    texts = materialise(docs.join(hits, "rid"), "phrase-texts")
+    hits = seeds.join(recurring, "seed").groupBy("rid", "th").agg(F.collect_set("seed").alias("seeds"))
+    texts = materialise(docs.join(hits, ["rid", "th"]), "phrase-texts")
     dispose(seeds, recurring)
-    windows = materialise(texts.select("rid", "text", "seeds").mapInArrow(_candidates(width, gram), "window long, rid long"), "phrase-windows")
+    windows = materialise(texts.mapInArrow(_candidates(width, gram), "window long, rid long, th long"), "phrase-windows")
     confirmed = windows.groupBy("window").agg(F.min("rid").alias("origin"), F.max("rid").alias("y")).where("origin < y").select("window", "origin")
     confirmed = materialise(confirmed, "phrase-confirmed")
-    own = confirmed.groupBy(F.col("origin").alias("rid")).agg(F.collect_list("window").alias("own"))
-    passages = texts.select("rid", "text").join(own, "rid").mapInArrow(_passages(width, gram), "rid long, text string, n_words long")
-    passages = materialise(passages, "phrase-passages")
-    total = passages.agg(F.sum("n_words")).first()[0] or 0
-    shards = F.lit(int(total // SHARD_WORDS + 1))
-    shard = F.pmod(F.xxhash64(F.lit(3), F.col("rid")), shards)
-    home = F.pmod(F.xxhash64(F.lit(3), F.col("origin")), shards)
-    routes = materialise(windows.join(confirmed, "window").where("rid > origin").select("rid", home.alias("shard")).distinct(), "phrase-routes")
+    long = confirmed.groupBy("origin").agg(F.ceil(F.count("*") / LOT_WINDOWS).alias("lots")).where("lots > 1")
+    lot = F.coalesce(F.pmod("window", "lots"), F.lit(0))
+    shard = F.pmod(F.xxhash64(F.lit(3), "origin", lot), F.lit(int(confirmed.count() // SHARD_WINDOWS + 1)))
+    homes = materialise(confirmed.join(materialise(long, "phrase-long"), "origin", "left").select("window", "origin", shard.alias("shard")), "phrase-homes")
+    # a row for each document and lot it needs; the origin's own row has the windows of the lot
+    own = F.collect_set(F.when(F.col("rid") == F.col("origin"), F.col("window")))
+    met = materialise(windows.join(homes, "window").groupBy("origin", "shard", "rid", "th").agg(own.alias("own")), "phrase-met")
+    dispose(windows, confirmed, homes)
+    passages = met.where("rid = origin").select("rid", "th", "shard", "own").join(texts.select("rid", "th", "text"), ["rid", "th"])
+    passages = materialise(passages.mapInArrow(_passages(width, gram), "rid long, shard long, text string"), "phrase-passages")
+    routes = materialise(met.where("rid > origin").select("rid", "th", "shard").distinct(), "phrase-routes")
     loads = routes.groupBy("shard").agg(F.ceil(F.count("*") / PART_DOCS).cast("int").alias("parts"))
-    automata = passages.where("n_words > 0").withColumn("shard", shard).join(loads, "shard")
+    automata = passages.where("text <> ''").join(loads, "shard")
     automata = automata.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "rid", F.lit(0).cast("long").alias("th"), "text")
-    readers = texts.select("rid", "th", "text").join(routes.join(loads, "shard"), "rid")
+    readers = texts.select("rid", "th", "text").join(routes.join(loads, "shard"), ["rid", "th"])
     readers = readers.select("shard", F.pmod(F.xxhash64("rid", "th"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "rid", "th", "text")
     placed = automata.unionByName(readers).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
     found = materialise(placed.mapInArrow(_stream(width), "rid long, th long, low long, high long"), "phrase-found")
-    dispose(texts, windows, confirmed, routes, passages)
+    dispose(texts, met, routes, passages)
     return found
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, th, text: ``th`` is a hash of the text where a doc_id repeats or is missing, else 0, which costs nothing to carry."""
+    text = F.coalesce("text", F.lit(""))
+    slim = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), text.alias("text"))
+    again = materialise(slim.groupBy("rid").agg(F.count("*").alias("c")).where("c > 1").select("rid", F.lit(True).alias("again")), "phrase-ids")
+    count = again.count()
+    if not count:
+        return slim.withColumn("th", F.lit(0).cast("long"))
+    known = slim.join(F.broadcast(again) if count <= MOST_IDS else again, "rid", "left")
+    return known.select("doc_id", "rid", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("th"), "text")
+
+
 def dedup_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, text (the kept words joined by one space), n_words, n_removed of every row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), F.xxhash64(text).alias("th"), text.alias("text"))
+    slim = identified(docs)
     found = occurrences(slim.select("rid", "th", "text"), width, gram)
     ranges = found.groupBy("rid", "th").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     joined = slim.join(ranges, ["rid", "th"], "left").select("doc_id", "text", "ranges")

@@ -184,6 +184,26 @@ def test_passages(spark, base):
     assert passages.dedup_passages(nulls.limit(0)).count() == 0
 
 
+def test_passages_of_rows_without_an_id_or_with_one_id(spark, base):
+    """Such rows lose what their own texts share with smaller documents, whatever other rows of the id hold."""
+    a, b = base[0], base[1]
+    texts = [a, f"{a} tail", "x y z " + b, b, f"own {a}", "nothing shared " * 3, f"{b} {a}"]
+    ids = [1, 5, 5, 5, None, None, None]
+    got = Counter((r["doc_id"], r["text"], r["n_removed"]) for r in passages.dedup_passages(table(spark, texts, ids)).collect())
+    assert got == Counter([(1, a, 0), (5, "tail", 60), (5, "x y z " + b, 0), (5, b, 0), (None, "own", 60), (None, ("nothing shared " * 3).strip(), 0), (None, "", 120)])
+
+
+def test_a_long_origin_is_split_over_automata(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SHARD_WINDOWS", 300)
+    monkeypatch.setattr(passages, "LOT_WINDOWS", 100)
+    monkeypatch.setattr(passages, "PART_DOCS", 1)
+    long = " ".join(f"o{i}" for i in range(1500))
+    texts = [long, *(" ".join(long.split()[i : i + 400]) + f" end{i} " + " ".join(long.split()[-i - 50 :]) for i in range(0, 900, 90))]
+    got = {r["doc_id"]: r for r in passages.dedup_passages(table(spark, texts)).collect()}
+    for i, (n, kept, gone) in enumerate(passage_brute(texts)):
+        assert (got[i]["n_words"], got[i]["text"], got[i]["n_removed"]) == (n, kept, gone), i
+
+
 def test_quality(spark, base):
     texts = [*base, "go go go " * 30, "a b c a b c " + " ".join(f"u{i}" for i in range(60)), "## $$ " * 60]
     got = {r["doc_id"]: r for r in quality.quality_filter(table(spark, texts)).collect()}
