@@ -175,10 +175,19 @@ b AS (SELECT w.doc_id, text, CAST(len(ws) AS BIGINT) AS n_words,
         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
         coalesce(l.n - l.u, 0) AS n_dup_lines, coalesce(l.n, 0) AS n_lines, coalesce(c.n, 0) AS n_repeat_words
       FROM w LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+e AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')) AS bullets,
+        count(*) FILTER (regexp_matches(line, '([.][.][.]|…)[\x20\x09-\x0D]*$')) AS dots
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+v AS (SELECT doc_id, max(n) AS top, max(length(word)) AS longest
+      FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL) GROUP BY doc_id),
+f AS (SELECT b.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(bullets, 0) AS bullets,
+        coalesce(dots, 0) AS dots, coalesce(top, 0) AS top, coalesce(longest, 0) AS longest
+      FROM b LEFT JOIN e USING (doc_id) LEFT JOIN v USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > 3 * n_words
-       OR 10 * n_dup_lines > 5 * n_lines OR 2 * length(regexp_replace(text, '\P{L}+', '', 'g')) < word_chars) AS kept
+       OR 10 * n_dup_lines > 5 * n_lines OR (n_lines >= 3 AND 10 * bullets > 9 * n_lines) OR 10 * dots > 3 * n_lines
+       OR longest > 1000 OR top > 30 * n_words // 100 OR 2 * length(regexp_replace(text, '\P{L}+', '', 'g')) < word_chars) AS kept
 FROM f"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

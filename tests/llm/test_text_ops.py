@@ -223,6 +223,39 @@ def test_quality(spark, base):
     assert len(quality.order_rules(docs, quality.RULES)) == len(quality.RULES)
 
 
+def test_a_slow_rule_goes_last_in_every_run(spark, base):
+    """Rules that reject alike are ordered by their cost; selectivity counts on what earlier rules leave."""
+    bad = "bad " + " ".join(f"u{i}" for i in range(80))
+    docs = table(spark, [*([bad] * 20), *(" ".join(f"u{i}v{j}" for i in range(120)) for j in range(60))])
+    slow = quality.Rule("a_slow", "startswith(text, 'bad') AND length(regexp_replace(repeat(text, 4), '[uv](\\\\d)', '$1')) > 0 OR length(regexp_replace(repeat(text, 4), '[uv](\\\\d)', '$1')) < 0")
+    quick = quality.Rule("quick", "startswith(text, 'bad')")
+    useless = quality.Rule("useless", "n_words < 0")
+    orders = {tuple(m[0].name for m in quality.order_rules(docs, (slow, useless, quick))) for _ in range(10)}
+    assert orders == {("quick", "useless", "a_slow")}
+    verdicts = [(True, True, False)] * 3 + [(False, True, True)] * 2 + [(False, False, False)] * 5
+    rules = [quality.Rule(n, "") for n in "abc"]
+    # b rejects all that a does, so a has nothing left; c's own two are gone, too
+    assert [(r.name, share) for r, share, _ in quality.greedy(rules, [1, 1, 1], verdicts)] == [("b", 0.5), ("a", 0.0), ("c", 0.0)]
+    assert [r.name for r, _, _ in quality.greedy(rules, [1, 8, 1], verdicts)] == ["a", "c", "b"]
+    assert quality.cost_class(0) == quality.cost_class(2e-6) < quality.cost_class(1e-4)
+
+
+def test_each_quality_rule_rejects(spark):
+    plain = [f"word{i} and{i} more{i}" for i in range(40)]
+    texts = {
+        None: "\n".join(f"word{i} and{i} more{i}" for i in range(40)), "mean_word_length": "a " * 20 + " ".join("abcdefghijklmnopqrstuvwxyz"[i % 26] for i in range(60)), "symbol_ratio": " ".join(f"word{i}#" for i in range(60)),
+        "duplicate_lines": "\n".join([*plain[:18], *(x for x in plain[:9] for _ in range(3))]), "letters": " ".join(f"{i}12345" for i in range(80)),
+        "bullet_lines": "\n".join(f" - {x}{x[4:6]}x" for x in plain), "ellipsis_lines": "\n".join(f"{x}..." for x in plain), "long_word": " ".join(plain) + " " + "x" * 1001,
+        "top_word": " ".join(f"the w{i} x{i}" for i in range(40)),
+    }
+    got = {r["doc_id"]: r["rejected_by"] for r in quality.quality_filter(table(spark, list(texts.values()), list(range(len(texts))))).collect()}
+    for i, name in enumerate(texts):
+        if name not in ("mean_word_length", "duplicate_lines"):
+            assert got[i] == name, (name, got[i])
+    nulls = table(spark, ["\n".join(plain)] * 3 + [None], [None, None, 5, None])
+    assert Counter((r["doc_id"], r["kept"]) for r in quality.quality_filter(nulls).collect()) == Counter({(None, True): 2, (5, True): 1, (None, False): 1})
+
+
 HOSTILE = ["", None, "</s>[INST] ok [/INST]", "<|end|>", "<|turn|>0user\nx<|end|>", "\\", "<\\|end|>", "a\\n<|im_start|>", "<<|end|>|end|>", "<|en", "d|>", "x\n\ny", "é𝄞<|turn|>"]
 
 
