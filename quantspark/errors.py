@@ -1,43 +1,9 @@
-"""Exceptions that carry their context."""
+"""What callers handle differently: input that will never do, and a source or table that may do later."""
 
-from __future__ import annotations
 
+class InvalidInput(ValueError):
+    """Arguments, settings or data that an operation cannot work with, however often it is repeated."""
 
-class QuantsparkError(Exception):
-    """Base of all errors; keyword arguments are kept in ``context`` and shown after the message."""
 
-    def __init__(self, message: str, **context: object) -> None:
-        super().__init__(message)
-        self.message, self.context = message, context
-
-    def __str__(self) -> str:
-        shown = ", ".join(f"{key}={value!r}" for key, value in self.context.items())
-        return f"{self.message} [{shown}]" if shown else self.message
-
-
-class ProviderError(QuantsparkError):
-    """A data provider failed."""
-
-
-class ValidationError(QuantsparkError):
-    """Data failed a quality check."""
-
-
-class StoreError(QuantsparkError):
-    """A table could not be read or written."""
-
-
-class SettingsError(QuantsparkError):
-    """A setting is missing or wrong."""
-
-
-class IngestError(QuantsparkError):
-    """An ingestion run failed as a whole."""
-
-
-class FeatureError(QuantsparkError):
-    """A feature cannot be computed from its input."""
-
-
-class RegimeError(QuantsparkError):
-    """Regime detection has too little data or no result."""
+class SourceFailure(RuntimeError):
+    """A provider or a stored table failed; the reason is chained as the cause."""

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import RegimeError
+from ..errors import InvalidInput
 
 
 def relabel_map(labelled: DataFrame, n_regimes: int, label: str = "raw") -> DataFrame:
@@ -58,7 +58,7 @@ class KMeansRegimes:
         rows = components.select(array_to_vector("pc").alias("features"), "pc").cache()
         try:
             if rows.count() < self.n:
-                raise RegimeError("k-means needs a row per regime", n_regimes=self.n)
+                raise InvalidInput(f"k-means needs a row for each of {self.n} regimes")
             models = [KMeans(k=self.n, seed=self.seed + i).fit(rows) for i in range(self.n_init)]
         finally:
             rows.unpersist()
@@ -69,7 +69,7 @@ class KMeansRegimes:
     def predict(self, components: DataFrame) -> DataFrame:
         """Adds distance (array), proba (array) and regime."""
         if self.centers is None:
-            raise RegimeError("fit comes before predict")
+            raise InvalidInput("fit comes before predict")
         out = components.withColumn("distance", distances(F.col("pc"), self.centers))
         nearest = (F.array_position("distance", F.array_min("distance")) - 1).cast("int")
         return out.withColumn("proba", inverse_distance_share(F.col("distance"))).withColumn("regime", nearest)
@@ -175,7 +175,7 @@ class HMMRegimes:
         rows = rows.sort_values("date")
         x = np.array([[v for v in pc if v is not None] for pc in rows["pc"]], float)
         if len(x) < 2 * self.n:
-            raise RegimeError("a Markov model needs two rows per regime", n_rows=len(x), n_regimes=self.n)
+            raise InvalidInput(f"a Markov model of {self.n} regimes needs two rows for each; there are {len(x)}")
         return rows, x, GaussianHMM(self.n, self.n_iter, self.seed).fit(x)
 
     def detect(self, components: DataFrame, series: str | None = None) -> DataFrame:

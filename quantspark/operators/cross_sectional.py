@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import FeatureError
+from ..errors import InvalidInput
 from ..functions.windows import by_date, ffill, pct_rank, ret, roll
 from ..plans.registry import CROSS_SECTIONAL
 from ..schema import require
@@ -21,7 +21,7 @@ def with_sectors(bars: DataFrame, sectors: DataFrame | None) -> DataFrame:
     """``bars`` with a sector from the (ticker, sector) frame, 'Unknown' where it has none."""
     if sectors is None:
         if "sector" not in bars.columns:
-            raise FeatureError("cross-sectional features need a sector for every ticker")
+            raise InvalidInput("cross-sectional features need a sector for every ticker")
         return bars
     known = sectors.select("ticker", F.col("sector").alias("_sector")).dropDuplicates(["ticker"])
     return bars.drop("sector").join(known, "ticker", "left").withColumn("sector", F.coalesce("_sector", F.lit("Unknown"))).drop("_sector")

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import RegimeError
+from ..errors import InvalidInput
 from .analysis import characterize, transitions
 from .clustering import GaussianHMM, HMMRegimes, KMeansRegimes, argmax
 from .pca import RollingPCA, transform_with
@@ -39,7 +39,7 @@ class RegimeResult:
 class RegimeDetector:
     def __init__(self, method: str = "ensemble", n_regimes: int = 4, pca: RollingPCA | None = None, n_init: int = 10, seed: int = 42) -> None:
         if method not in METHODS:
-            raise RegimeError("unknown method", method=method)
+            raise InvalidInput(f"no method {method!r}")
         self.method, self.pca = method, pca or RollingPCA()
         self.hmm, self.kmeans = HMMRegimes(n_regimes, seed=seed), KMeansRegimes(n_regimes, n_init, seed)
         self._models: DataFrame | None = None
@@ -64,7 +64,7 @@ class RegimeDetector:
         self._features = list(features)
         components = self.pca.fit_transform(matrix, features).cache()
         if not components.limit(1).count():
-            raise RegimeError("PCA gave no components")
+            raise InvalidInput("PCA gave no components")
         self._models = self.pca.models(matrix, features)
         width = min(self.pca.n, len(self._features))
         labels = self._labels(components.withColumn("pc", F.slice("pc", 1, width))).cache()
@@ -81,9 +81,9 @@ class RegimeDetector:
     def detect_live(self, rows: DataFrame) -> DataFrame:
         """``rows`` with pc, regime, proba and confidence from the fitted models; not for the ensemble."""
         if self.method == "ensemble":
-            raise RegimeError("the ensemble needs a batch")
+            raise InvalidInput("the ensemble needs a batch")
         if self._models is None:
-            raise RegimeError("detect comes before detect_live")
+            raise InvalidInput("detect comes before detect_live")
         scored = transform_with(self._models, rows, self._features)
         if self.method == "kmeans":
             scored = self.kmeans.predict(scored).drop("distance")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import RegimeError
+from ..errors import InvalidInput
 from ..functions.windows import ffill
 from ..settings import MIN_PCA_ROWS
 
@@ -44,7 +44,7 @@ def fit(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 class RollingPCA:
     def __init__(self, n_components: int = 10, window_days: int = 252, refit_every: int = 21) -> None:
         if window_days + 1 < MIN_PCA_ROWS:
-            raise RegimeError("a window needs more rows", window_days=window_days, least=MIN_PCA_ROWS)
+            raise InvalidInput(f"a window of {window_days} rows is too short, the least is {MIN_PCA_ROWS}")
         self.n, self.window, self.every = n_components, window_days, refit_every
 
     def _groups(self, matrix: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -81,7 +81,7 @@ class RollingPCA:
     def check(self, matrix: DataFrame, features: Sequence[str]) -> None:
         n = cleaned(matrix, features).count()
         if n < self.window:
-            raise RegimeError("too few valid rows", n_rows=n, window_days=self.window)
+            raise InvalidInput(f"{n} valid rows do not fill a window of {self.window}")
 
     def fit_transform(self, matrix: DataFrame, features: Sequence[str]) -> DataFrame:
         """date, refit, pc, explained, total_explained of every row from row ``window_days`` on."""

@@ -44,7 +44,8 @@ class FeaturePipeline:
         self.registry = registry or FeatureRegistry.standard()
         self.buffer_days = buffer_days if buffer_days is not None else int(self.registry.max_lookback() * 1.6) + 10
 
-    def run(self, tickers: list[str], start: datetime.date, end: datetime.date, index_ticker: str = "SPY", sectors: DataFrame | None = None) -> dict:
+    def run(self, tickers: list[str], start: datetime.date, end: datetime.date, index_ticker: str = "SPY", sectors: DataFrame | None = None, only: list[str] | None = None) -> dict:
+        """Features of all ``tickers``, as the cross-section needs them; stored are those of ``only``, if it is given."""
         since = start - datetime.timedelta(days=self.buffer_days)
         panel = self.bars.get_universe_data(tickers, since, end)
         there = {r[0] for r in panel.where(F.col("date") >= F.lit(since)).select("ticker").distinct().collect()}
@@ -54,7 +55,7 @@ class FeaturePipeline:
             home = sectors if sectors is not None else panel.select("ticker").distinct().withColumn("sector", F.lit("Unknown"))
             index = self.bars.get_data(index_ticker, since, end)
             frame = feature_frame(with_sectors(panel, home), index).where(F.col("date").between(F.lit(start), F.lit(end)))
-            stored = self.store.store_features(frame)
+            stored = self.store.store_features(frame if only is None else frame.where(F.col("ticker").isin(only)))
         self.store.store_feature_metadata(self.registry)
         return {
             "tickers_processed": len(there), "tickers_failed": len(failures), "features_stored": stored,
@@ -65,11 +66,11 @@ class FeaturePipeline:
     def run_incremental(self, tickers: list[str], until: datetime.date | None = None, **options) -> dict[str, dict]:
         """Continue every ticker from the day after its own last stored date; runs by their first date.
 
-        Cross-sectional features need all tickers of a date, so each run sees the whole list and overwrites what
-        another run has stored for the same keys with the same values.
+        A run stores the tickers that continue from its date; the others only take part in its cross-section.
         """
         until = until or datetime.date.today()
         last = {r["ticker"]: r["latest_date"] for r in self.store.latest_dates().where(F.col("ticker").isin(tickers)).collect()}
-        starts = {t: last[t] + datetime.timedelta(days=1) if t in last else FIRST_DATE for t in tickers}
-        first = min((s for s in starts.values() if s <= until), default=None)
-        return {} if first is None else {str(first): self.run(tickers, first, until, **options)}
+        groups: dict[datetime.date, list[str]] = {}
+        for ticker in tickers:
+            groups.setdefault(last[ticker] + datetime.timedelta(days=1) if ticker in last else FIRST_DATE, []).append(ticker)
+        return {str(first): self.run(tickers, first, until, only=own, **options) for first, own in sorted(groups.items()) if first <= until}

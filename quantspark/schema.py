@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .errors import FeatureError
+from .errors import InvalidInput
 
 BARS = "ticker string, date date, open double, high double, low double, close double, volume double, adj_close double"
 FEATURES = "ticker string, date date, feature_name string, value double, computed_at timestamp"
@@ -26,5 +26,5 @@ EQUITY = (
 def require(df: DataFrame, *columns: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise FeatureError("required columns are missing", missing=missing, found=df.columns)
+        raise InvalidInput(f"columns {missing} are missing among {df.columns}")
     return df

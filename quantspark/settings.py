@@ -7,7 +7,7 @@ import logging
 import os
 from dataclasses import dataclass, fields
 
-from .errors import SettingsError
+from .errors import InvalidInput
 
 # Fixed values.
 TRADING_DAYS = 252
@@ -43,7 +43,7 @@ def get_settings() -> Settings:
                 try:
                     values[field.name] = type(field.default)(raw)
                 except ValueError as e:
-                    raise SettingsError("a setting cannot be read", field=field.name, value=raw) from e
+                    raise InvalidInput(f"the setting {field.name} cannot be {raw!r}") from e
         _current = Settings(**values)
     return _current
 

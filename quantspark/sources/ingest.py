@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import IngestError, ProviderError
+from ..errors import InvalidInput, SourceFailure
 from ..operators.quality import quality_report, split_valid
 from ..schema import BARS, INGESTION, QUALITY, TICKERS
 from ..settings import Settings, get_settings
@@ -42,9 +42,9 @@ class Provider(ABC):
                 return rows.na.drop("all", subset=["open", "high", "low", "close"])
             except Exception as e:
                 if attempt + 1 == self.settings.max_retries:
-                    raise ProviderError("the provider failed", provider=self.name, attempts=attempt + 1) from e
+                    raise SourceFailure(f"the provider {self.name} failed {attempt + 1} times") from e
                 time.sleep(self.settings.retry_seconds * 2**attempt)
-        raise ProviderError("no attempt is allowed", provider=self.name)
+        raise InvalidInput("max_retries allows no attempt")
 
     def fetch_historical(self, ticker: str, start: datetime.date, end: datetime.date) -> DataFrame:
         return self.fetch_bulk([ticker], start, end)
@@ -63,10 +63,14 @@ class FrameProvider(Provider):
         return self.bars.where(F.col("ticker").isin(list(tickers)) & F.col("date").between(F.lit(start), F.lit(end)))
 
 
+#: Bars lie in a partition per month: a day's batch touches one, a query of some dates reads those months only.
+MONTH = "date_format(date, 'yyyy-MM')"
+
+
 class BarStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
-        self.bars = KeyedTable(spark, root, "ohlcv", BARS, ["ticker", "date"])
+        self.bars = KeyedTable(spark, root, "ohlcv", BARS, ["ticker", "date"], MONTH)
         self.quality = KeyedTable(spark, root, "data_quality", QUALITY, ["ticker", "start_date", "end_date"])
         self.tickers = KeyedTable(spark, root, "ticker_metadata", TICKERS, ["ticker"])
         self.log = KeyedTable(spark, root, "ingestion_log", INGESTION, ["ticker", "start_date", "end_date", "logged_at"])
@@ -80,7 +84,9 @@ class BarStore:
         return self.bars.upsert(bars)
 
     def get_universe_data(self, tickers: Sequence[str], start: datetime.date | None = None, end: datetime.date | None = None) -> DataFrame:
-        rows = self.bars.read().where(F.col("ticker").isin(list(tickers)) if tickers else F.lit(False))
+        low, high = start.strftime("%Y-%m") if start else "", end.strftime("%Y-%m") if end else "~"
+        rows = self.bars.read([m for m in self.bars.partitions() if low <= m <= high])
+        rows = rows.where(F.col("ticker").isin(list(tickers)) if tickers else F.lit(False))
         if start is not None:
             rows = rows.where(F.col("date") >= F.lit(start))
         return rows if end is None else rows.where(F.col("date") <= F.lit(end))
@@ -131,15 +137,30 @@ def _store_batch(store: BarStore, provider: Provider, batch: list[str], start: d
         spans = good.groupBy("ticker").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("total_bars"))
         store.update_metadata(spans.withColumn("sector", F.lit(None).cast("string")).withColumn("provider", F.lit(provider.name)))
     rows = [(t, start, end, "success" if t in got else "failed", got.get(t, (0,))[0], None if t in got else "no data") for t in batch]
-    store.log_ingestion(spark.createDataFrame(rows, "ticker string, start_date date, end_date date, status string, n_rows long, error string"))
+    store.log_ingestion(spark.createDataFrame(rows, LOGGED))
     clean = sum(flag for _, flag in got.values())
     return len(got), len(batch) - len(got), clean, len(got) - clean
 
 
+LOGGED = "ticker string, start_date date, end_date date, status string, n_rows long, error string"
+
+
+def _store_alone(store: BarStore, provider: Provider, batch: list[str], start: datetime.date, end: datetime.date) -> tuple[int, int, int, int]:
+    """As :func:`_store_batch`; where the provider fails, each ticker is tried alone, and one that fails is logged and counted."""
+    try:
+        return _store_batch(store, provider, batch, start, end)
+    except SourceFailure as e:
+        if len(batch) > 1:
+            each = [_store_alone(store, provider, [t], start, end) for t in batch]
+            return tuple(map(sum, zip(*each, strict=True)))  # type: ignore[return-value]
+        store.log_ingestion(store.spark.createDataFrame([(batch[0], start, end, "failed", 0, str(e.__cause__ or e)[:500])], LOGGED))
+        return 0, 1, 0, 0
+
+
 def ingest_historical(tickers: Sequence[str], start: datetime.date, end: datetime.date, provider: Provider, store: BarStore, batch_size: int | None = None) -> dict[str, int]:
     """Fetch, check and store bars; tickers that an earlier run finished are skipped, a failing ticker fails alone."""
     if start > end:
-        raise IngestError("the first date is after the last", start=start, end=end)
+        raise InvalidInput(f"the first date {start} is after the last, {end}")
     spark = store.spark
     requested = spark.createDataFrame([(t,) for t in dict.fromkeys(tickers)], "ticker string")
     left = [r[0] for r in todo(requested, store.completed(start, end)).orderBy("ticker").collect()]
@@ -148,16 +169,13 @@ def ingest_historical(tickers: Sequence[str], start: datetime.date, end: datetim
     size = batch_size or provider.settings.batch_size
     for at in range(0, len(left), size):
         batch = left[at : at + size]
-        try:
-            found = _store_batch(store, provider, batch, start, end)
-        except ProviderError:
-            found = (0, len(batch), 0, 0)
+        found = _store_alone(store, provider, batch, start, end)
         out = {k: v + n for (k, v), n in zip(out.items(), found, strict=True)}
     return {"total": total, "skipped": total - len(left)} | out
 
 
 def ingest_incremental(tickers: Sequence[str], provider: Provider, store: BarStore, until: datetime.date | None = None) -> dict[str, int]:
-    """Continue every ticker from the day after its last bar; a ticker without any bar fails."""
+    """Continue every ticker from the day after its last bar; a ticker without any bar fails, and each fails alone."""
     until = until or datetime.date.today()
     last = {r["ticker"]: r["d"] for r in store.get_universe_data(list(tickers)).groupBy("ticker").agg(F.max("date").alias("d")).collect()}
     out = {"total": len(tickers), "succeeded": 0, "failed": 0, "skipped": 0}
@@ -170,7 +188,7 @@ def ingest_incremental(tickers: Sequence[str], provider: Provider, store: BarSto
         else:
             by_start.setdefault(last[ticker] + datetime.timedelta(days=1), []).append(ticker)
     for start, batch in by_start.items():
-        good, bad, _, _ = _store_batch(store, provider, batch, start, until)
+        good, bad, _, _ = _store_alone(store, provider, batch, start, until)
         out["succeeded"] += good
         out["failed"] += bad
     return out

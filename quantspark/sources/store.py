@@ -55,7 +55,8 @@ class FeatureStore:
         return self.metadata.upsert(registry.to_frame(self.spark).withColumn("last_computed", F.current_timestamp()), "last_computed")
 
     def _select(self, tickers: list[str], names: list[str] | None, start: datetime.date | None, end: datetime.date | None) -> DataFrame:
-        rows = self.values.read().where(F.col("ticker").isin(tickers) if tickers else F.lit(False))
+        # a partition for each feature: only the named ones are read
+        rows = self.values.read(names).where(F.col("ticker").isin(tickers) if tickers else F.lit(False))
         if names is not None:
             rows = rows.where(F.col("feature_name").isin(names) if names else F.lit(False))
         if start is not None:

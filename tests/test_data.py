@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quantspark.errors import ProviderError, SettingsError, StoreError
+from quantspark.errors import InvalidInput, SourceFailure
 from quantspark.operators import quality
 from quantspark.plans.pipeline import FeaturePipeline
 from quantspark.settings import Settings, get_settings, reset_settings
@@ -39,7 +39,7 @@ def test_bars_roundtrip_and_upsert(spark, store):
 
 
 def test_missing_table(spark, tmp_path):
-    with pytest.raises(StoreError):
+    with pytest.raises(SourceFailure):
         BarStore(spark, str(tmp_path / "none")).get_summary()
 
 
@@ -72,7 +72,7 @@ def test_provider_repeats_and_gives_up(spark):
 
     quick = Settings(retry_seconds=0.0, calls_per_second=1e9)
     assert Flaky(quick).fetch_historical("AAA", START, END).count() == 5
-    with pytest.raises(ProviderError):
+    with pytest.raises(SourceFailure):
         Flaky(Settings(retry_seconds=0.0, calls_per_second=1e9, max_retries=2)).fetch_bulk(["AAA"], START, END)
 
 
@@ -82,7 +82,7 @@ def test_settings(monkeypatch):
     assert get_settings().batch_size == 7
     monkeypatch.setenv("QUANTSPARK_BATCH_SIZE", "x")
     reset_settings()
-    with pytest.raises(SettingsError):
+    with pytest.raises(InvalidInput):
         get_settings()
     monkeypatch.undo()
     reset_settings()
@@ -154,3 +154,69 @@ def test_sessions(spark):
     rows = [(1, f"2024-01-01 00:{m:02d}:00", 1.0) for m in (0, 10, 50, 59)]
     events = spark.createDataFrame(rows, "user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r["n"] for r in user_sessions(events).collect()) == [2, 2]
+
+
+def test_an_upsert_that_dies_leaves_the_table(spark, store, monkeypatch):
+    bars = spark.createDataFrame(walk(40))
+    store.upsert_bars(bars)
+    before = sorted(map(str, store.bars.read().collect()))
+
+    def die(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(store.bars, "_commit", die)
+    with pytest.raises(SourceFailure) as found:
+        store.upsert_bars(bars.withColumn("close", F.lit(1.0)))
+    assert isinstance(found.value.__cause__, OSError) and sorted(map(str, store.bars.read().collect())) == before
+    monkeypatch.undo()
+    version = store.bars.versions()[-1]
+    with pytest.raises(SourceFailure):  # another run was faster
+        store.bars._commit(version, {})
+    assert store.upsert_bars(bars.withColumn("close", F.lit(1.0))) == 40 and store.bars.read().where("close = 1").count() == 40
+    used = {f.split("/")[0] for v in store.bars.versions() for folders in store.bars._manifest(v).values() for f in folders}
+    assert set(store.bars._names("data")) == used and len(store.bars.versions()) == 2
+
+
+def test_a_batch_touches_its_months_only(spark, store):
+    store.upsert_bars(spark.createDataFrame(walk(60)))
+    before = store.bars._current()[1]
+    store.upsert_bars(spark.createDataFrame(walk(60)).where("date >= '2020-03-01'"))
+    after = store.bars._current()[1]
+    assert sorted(before) == sorted(after) == ["2020-01", "2020-02", "2020-03"]
+    assert [m for m in after if after[m] == before[m]] == ["2020-01", "2020-02"] and store.bars.read().count() == 60
+    assert store.bars.read(["2020-02"]).agg(F.min("date")).first()[0] == datetime.date(2020, 2, 3)
+    for _ in range(40):
+        store.log.append(spark.createDataFrame([("A", START, END, "success", 1, None, None)], store.log.schema))
+    assert store.log.read().count() == 40 and len(store.log._current()[1][""]) < 40
+
+
+def test_a_failing_ticker_fails_alone_and_is_logged(spark, store, panel_rows):
+    class Picky(FrameProvider):
+        def _fetch(self, tickers, start, end):
+            if "BBB" in tickers:
+                raise OSError("no BBB")
+            return super()._fetch(tickers, start, end)
+
+    provider = Picky(spark.createDataFrame(panel_rows), Settings(retry_seconds=0.0, calls_per_second=1e9, max_retries=1))
+    got = ingest_historical(["AAA", "BBB", "CCC"], START, END, provider, store)
+    assert (got["succeeded"], got["failed"]) == (2, 1)
+    assert [(r["ticker"], r["status"], r["error"]) for r in store.log.read().where("status = 'failed'").collect()] == [("BBB", "failed", "no BBB")]
+    store.upsert_bars(spark.createDataFrame(walk(10, "BBB")))
+    later = ingest_incremental(["AAA", "BBB"], provider, store, END + datetime.timedelta(days=9))
+    assert later["failed"] >= 1
+
+
+def test_a_new_ticker_does_not_recompute_the_others(spark, tmp_path, panel_rows):
+    bars, features = BarStore(spark, str(tmp_path)), FeatureStore(spark, str(tmp_path))
+    bars.create_schema()
+    features.create_schema()
+    bars.upsert_bars(spark.createDataFrame(panel_rows))
+    days = sorted(panel_rows["date"].unique())
+    pipeline = FeaturePipeline(bars, features)
+    pipeline.run(["AAA"], days[330], days[340])
+    first = features.values.read().agg(F.max("computed_at")).first()[0]
+    runs = pipeline.run_incremental(["AAA", "BBB"], days[342])
+    assert len(runs) == 2
+    stored = features.values.read().groupBy("ticker").agg(F.min("date").alias("low"), F.max("date").alias("high"))
+    assert {r["ticker"]: (r["low"], r["high"]) for r in stored.collect()} == {"AAA": (days[330], days[342]), "BBB": (days[0], days[342])}
+    assert features.values.read().where((F.col("ticker") == "AAA") & (F.col("date") <= F.lit(days[340])) & (F.col("computed_at") > F.lit(first))).count() == 0

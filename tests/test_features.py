@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantspark.errors import FeatureError
+from quantspark.errors import InvalidInput
 from quantspark.functions.windows import ewm_block, pct_rank, with_ewm
 from quantspark.operators.cross_sectional import cross_sectional, with_sectors
 from quantspark.operators.macro import macro
@@ -79,9 +79,9 @@ def test_constant_price_and_empty_panel(spark):
 
 
 def test_inputs_are_checked(spark):
-    with pytest.raises(FeatureError):
+    with pytest.raises(InvalidInput):
         technical(spark.createDataFrame([("A", 1.0)], "ticker string, adj_close double"))
-    with pytest.raises(FeatureError):
+    with pytest.raises(InvalidInput):
         cross_sectional(spark.createDataFrame(walk(30)))
 
 

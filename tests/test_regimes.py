@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantspark.errors import RegimeError
+from quantspark.errors import InvalidInput
 from quantspark.operators import analysis
 from quantspark.operators.clustering import GaussianHMM, HMMRegimes, KMeansRegimes, transition_matrix
 from quantspark.operators.detector import RegimeDetector
@@ -37,10 +37,10 @@ def test_pca_finds_the_factors_and_does_not_look_ahead(spark):
 
 
 def test_pca_guards(spark):
-    with pytest.raises(RegimeError):
+    with pytest.raises(InvalidInput):
         RollingPCA(3, 20)
     pca = RollingPCA(10, 100)
-    with pytest.raises(RegimeError):
+    with pytest.raises(InvalidInput):
         pca.check(spark.createDataFrame(matrix(80)), NAMES)
     assert pca.fit_transform(spark.createDataFrame(matrix(100)), NAMES).count() == 0
     padded = pca.fit_transform(spark.createDataFrame(matrix(101)), NAMES).first()
@@ -61,9 +61,9 @@ def test_kmeans(separable):
     got = KMeansRegimes(2, 3).fit(rows).predict(rows).orderBy("date").toPandas()
     assert (got["regime"] == truth).mean() > 0.9
     np.testing.assert_allclose(np.stack(got["proba"]).sum(1), 1)
-    with pytest.raises(RegimeError):
+    with pytest.raises(InvalidInput):
         KMeansRegimes(5).fit(rows.limit(3))
-    with pytest.raises(RegimeError):
+    with pytest.raises(InvalidInput):
         KMeansRegimes(2).predict(rows)
 
 
@@ -88,7 +88,7 @@ def test_detector(spark, method):
     assert 0.5 <= summary["current_confidence"] <= 1 + 1e-9 and 0 <= summary["transition_probability"] <= 1
     assert result.labels.count() == 160 and result.to_json().count() == 160
     if method == "ensemble":
-        with pytest.raises(RegimeError):
+        with pytest.raises(InvalidInput):
             detector.detect_live(rows)
     else:
         last = result.labels.orderBy(F.desc("date")).first()
