@@ -12,7 +12,8 @@ role in hexadecimal.  Each turn is rendered at the lowest level, reparsed by the
 its source; while it differs, the next level is tried.  Levels 1 and 2 are reversible by construction, so the loop ends.
 
 Defined results: null texts and roles count as empty; turns are ordered by (turn, role, text), null turns first, so
-ties and repeated rows have one order; rows with a null conv_id form one conversation; an empty table gives none.
+ties and repeated rows have one order; rows with a null conv_id belong to no other row and are conversations of one turn
+each, so that they never meet in one group; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ TURN, END = "<|turn|>", "<|end|>"
 #: Control strings of this grammar and those of common chat templates, which a model may know as special tokens.
 CONTROL = (TURN, END, "<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 LEVELS = (0, 1, 2)
-PARSED = "array<struct<role:string,text:string,level:string,start:int,length:int,valid:boolean>>"
+#: Turns whose lengths are summed at once.
+BLOCK = 256
 
 
 def has_control(text: Column) -> Column:
@@ -54,39 +56,55 @@ def decode_body(body: Column, level: Column) -> Column:
     return F.when(level == "0", body).otherwise(unescape(body))
 
 
-def parse(formatted: Column) -> Column:
-    """Turns of a formatted text with the 1-based position and length, in code points, of each body.
+def _chunks(formatted: Column) -> Column:
+    return F.split(formatted, r"<\|end\|>", -1)
 
-    A text that the grammar rejects gives at least one turn whose ``valid`` is false.
-    """
-    chunks = F.split(formatted, r"<\|end\|>", -1)
-    turns = F.slice(chunks, 1, F.size(chunks) - 1)
-    ends_well = F.element_at(chunks, -1) == ""
+
+def _turn(chunk: Column, before: Column, ends_well: Column) -> Column:
+    """One turn of the grammar from its text without the end mark; ``before``: code points that stand before it."""
     head = len(TURN)
+    level, rest = F.substring(chunk, head + 1, 1), F.substr(chunk, F.lit(head + 2))
+    cut = F.instr(rest, "\n")
+    raw, body = F.substr(rest, F.lit(1), cut - 1), F.substr(rest, cut + 1)
+    role = F.when(level == "2", F.decode(F.unhex(raw), "UTF-8")).otherwise(raw)
+    valid = ends_well & chunk.startswith(TURN) & level.isin("0", "1", "2") & (cut > 0) & ~has_control(raw) & ~has_control(body)
+    return F.struct(
+        role.alias("role"),
+        decode_body(body, level).alias("text"),
+        level.alias("level"),
+        (before + head + 1 + cut + 1).cast("int").alias("start"),
+        F.length(body).alias("length"),
+        F.coalesce(valid, F.lit(False)).alias("valid"),
+    )
+
+
+def parse(rows: DataFrame, formatted: str = "formatted") -> DataFrame:
+    """``rows`` with ``turns``: the turns of a formatted text with the 1-based position and length, in code points, of each body.
+
+    A text that the grammar rejects gives at least one turn whose ``valid`` is false.  Every step is a column of its own, so
+    that nothing is split twice; positions are sums of whole blocks of turns and of the turns of one block, so that a
+    long conversation costs its number of turns times a few hundred, not its square.
+    """
+    rows = rows.withColumn("qs_chunks", _chunks(F.col(formatted))).withColumn("qs_ends", F.element_at("qs_chunks", -1) == "")
+    rows = rows.withColumn("qs_chunks", F.slice("qs_chunks", F.lit(1), F.size("qs_chunks") - 1))
+    rows = rows.withColumn("qs_lengths", F.transform("qs_chunks", lambda c: F.length(c).cast("long") + len(END)))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda n, x: n + x)
+    blocks = F.sequence(F.lit(0), F.expr(f"size(qs_lengths) div {BLOCK}"))
+    rows = rows.withColumn("qs_sums", F.transform(blocks, lambda b: total(F.slice("qs_lengths", (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))))
 
     def one(chunk: Column, i: Column) -> Column:
-        level, rest = F.substring(chunk, head + 1, 1), F.substr(chunk, F.lit(head + 2))
-        cut = F.instr(rest, "\n")
-        raw, body = F.substr(rest, F.lit(1), cut - 1), F.substr(rest, cut + 1)
-        before = F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda n, c: n + F.length(c) + len(END))
-        role = F.when(level == "2", F.decode(F.unhex(raw), "UTF-8")).otherwise(raw)
-        valid = ends_well & chunk.startswith(TURN) & level.isin("0", "1", "2") & (cut > 0) & ~has_control(raw) & ~has_control(body)
-        return F.struct(
-            role.alias("role"),
-            decode_body(body, level).alias("text"),
-            level.alias("level"),
-            (before + head + 1 + cut + 1).alias("start"),
-            F.length(body).alias("length"),
-            F.coalesce(valid, F.lit(False)).alias("valid"),
-        )
-
-    return F.transform(turns, one)
+        block = F.floor(i / BLOCK).cast("int")
+        before = total(F.slice("qs_sums", F.lit(1), block)) + total(F.slice("qs_lengths", block * BLOCK + 1, i - block * BLOCK))
+        return _turn(chunk, before, F.col("qs_ends"))
+
+    return rows.withColumn("turns", F.transform("qs_chunks", one)).drop("qs_chunks", "qs_ends", "qs_lengths", "qs_sums")
 
 
 def _recovers(formatted: Column, role: Column, text: Column) -> Column:
-    got = parse(formatted)
-    first = F.get(got, F.lit(0))
-    return (F.size(got) == 1) & first["valid"] & (first["role"] == role) & (first["text"] == text)
+    """Whether the parser reads one turn back identically: one end mark, at the end, and the same role and text before it."""
+    alone = F.length(formatted) - len(END)
+    got = _turn(F.substr(formatted, F.lit(1), alone), F.lit(0), F.instr(formatted, END) == alone + 1)
+    return got["valid"] & (got["role"] == role) & (got["text"] == text)
 
 
 def format_turns(rows: DataFrame) -> DataFrame:
@@ -107,9 +125,11 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     every assistant body with its escape level; ``identical``, whether the recovered turns equal the source.
     """
     turn = F.struct("turn", "role", "text", "rendered")
-    grouped = format_turns(rows).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("source"))
+    made = format_turns(rows)
+    grouped = made.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("source"))
+    grouped = grouped.unionByName(made.where("conv_id IS NULL").select("conv_id", F.array(turn).alias("source")))
     grouped = grouped.withColumn("formatted", F.array_join(F.transform("source", lambda t: t["rendered"]), ""))
-    grouped = grouped.withColumn("turns", parse(F.col("formatted")))
+    grouped = parse(grouped)
     same = F.transform("turns", lambda t: F.struct(t["role"], t["text"])) == F.transform("source", lambda t: F.struct(t["role"], t["text"]))
     spans = F.transform(
         F.filter("turns", lambda t: t["role"] == "assistant"),

@@ -52,12 +52,13 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rids, texts = batch.column("rid").to_pylist(), batch.column("text")
         for i, rid in enumerate(rids):
             text = texts[i].as_py()
-            sha = hashlib.sha256(text.encode()).digest()
+            data = text.encode()
+            sha = hashlib.sha256(data).digest()
             entry = held.get((sha, text))
             if entry is None:
                 # the first 63 bits of the hash are the key, as a number that is not negative
                 held[sha, text] = [int.from_bytes(sha[:8], "big") >> 1, rid, 1]
-                size += len(text) + 200
+                size += len(data) + 200
                 if size > FLUSH_BYTES:
                     yield flush()
                     held.clear()

@@ -7,7 +7,7 @@ rows of a join whose skewed partitions the planner splits; no group is ever gath
 
 Defined results: null or empty text is one empty line; rows with a null doc_id count together as one document that
 comes after all others; rows that repeat a doc_id count as one document, too; in both cases every row loses the shared lines
-of its own text only; an empty table gives none.
+of its own text only; an empty table gives none; input columns called qs_n_lines and qs_n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, shelter
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,6 +51,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """All columns of ``docs`` with the cleaned text, and ``qs_n_lines`` and ``qs_n_dropped``."""
+    docs, back = shelter(docs, "qs_n_lines", "qs_n_dropped")
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     gone = dropped_lines(slim, min_chars, min_docs).select(F.col("rid").alias("qs_rid"), F.col("th").alias("qs_th"), F.col("gone").alias("qs_gone"))
     own = docs.withColumn("qs_own", text_hash())
@@ -62,4 +63,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     out = out.withColumn("qs_n_lines", F.size("qs_lines").cast("long"))
     out = out.withColumn("qs_n_dropped", F.coalesce(F.size("qs_gone"), F.lit(0)).cast("long"))
     out = out.withColumn("text", F.when(F.col("qs_gone").isNull(), F.col("text")).otherwise(text))
-    return out.drop("qs_rid", "qs_th", "qs_own", "qs_gone", "qs_lines")
+    return out.drop("qs_rid", "qs_th", "qs_own", "qs_gone", "qs_lines").withColumnsRenamed(back)

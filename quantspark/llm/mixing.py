@@ -2,11 +2,12 @@
 
 1. Targets: source weights share ``share`` times all words; a target stops at ``max_epochs`` times its source's size and
    the excess is reshared by weight (water filling in closed form over the table of sources).
-2. Blocks: a source's documents are put in a hashed order and its word stream is cut into blocks of ``block_words``.
+2. Blocks: a source's documents are put in a hashed order and its word stream is cut into blocks of ``block_words``; each
+   epoch takes the blocks in another order (a step that is prime to their number, from a hashed start).
    Stream positions are prefix sums in two levels (hash buckets, then inside a bucket), so no task orders a whole source.
 3. Schedule: point i of the golden-ratio sequence is mapped through the cumulative slot shares to a source; slots are
-   ranked per source, again in two levels (runs of slots, then inside a run).  Rank r takes block r modulo the number
-   of blocks, so a source is repeated only after all its blocks have been taken once.
+   ranked per source, again in two levels (runs of slots, then inside a run).  Rank r takes the next block of
+   its epoch, so a source is repeated only after all its blocks have been taken once.
 4. The sequence gives every source its share up to its discrepancy, a few slots.  The tail corrects these: surplus
    slots of a source are left out, missing ones follow at the end, and its last slot is cut to meet the target.
 
@@ -29,7 +30,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 PHI = 0.6180339887498949
 PHI20 = (PHI * 2**20) % 1.0
 RUN = 1 << 14
-ROWS_PER_BUCKET = 20_000
+#: A source has about as many buckets as rows in a bucket, but not less rows than this.
+LEAST_ROWS = 1000
+#: Primes beyond any number of blocks; one that does not divide the blocks numbers them anew.
+PRIMES = (2147483647, 2147483629)
 
 
 @dataclass(frozen=True)
@@ -46,7 +50,7 @@ def word_count(text: Column) -> Column:
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: int) -> DataFrame:
     """source, s (rank by code point, null last, from 0), total, weight, target of every source."""
-    ranked = sizes.groupBy("source").agg(F.sum("size").alias("total"))
+    ranked = sizes.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n_docs"))
     ranked = ranked.withColumn("s", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranked.withColumn("weight", F.get(cycle, F.pmod("s", F.lit(len(weights))))).withColumn("cap", F.col("total") * float(max_epochs))
@@ -58,18 +62,25 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs
     open_rate = F.max(F.when(F.col("rate") < F.col("level"), F.col("rate"))).over(whole)
     ranked = ranked.withColumn("open_rate", open_rate)
     target = F.coalesce(F.least("cap", F.col("open_rate") * F.col("weight")), F.col("cap"))
-    return ranked.select("source", "s", "total", "weight", target.alias("target"))
+    return ranked.select("source", "s", "n_docs", "total", "weight", target.alias("target"))
 
 
-def _positions(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
-    """sizes with s and ``begin``, the position of the document's first word in its source's stream."""
-    bits = max(1, (max(1, rows // ROWS_PER_BUCKET) - 1).bit_length())
-    keyed = sizes.join(sources.select("source", "s"), sizes["source"].eqNullSafe(sources["source"]), "inner").drop(sources["source"])
-    keyed = keyed.withColumn("h", F.xxhash64(F.lit(20), "doc_id")).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+def _positions(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """sizes with s and ``begin``, the position of the document's first word in its source's stream.
+
+    Rows are told apart by id, text and, where all of that repeats, by their number among their equals, so that neither
+    rows without an id nor repeated ones meet in one bucket.
+    """
+    bits = F.ceil(F.log2(F.greatest(F.col("n_docs") / F.greatest(F.lit(float(LEAST_ROWS)), F.sqrt("n_docs")), F.lit(1.0)))).cast("int")
+    own = sources.select("source", "s", bits.alias("bits"))
+    keyed = sizes.join(own, sizes["source"].eqNullSafe(own["source"]), "inner").drop("source")
+    equals = keyed.groupBy("doc_id", "size", "th", "s", "bits").agg(F.count("*").cast("int").alias("copies"))
+    keyed = equals.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("h", F.xxhash64(F.lit(20), "doc_id", "th", "copy"))
+    keyed = keyed.withColumn("bucket", F.when(F.col("bits") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)")))
     summed = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = summed.select(F.col("s").alias("s_"), F.col("bucket").alias("bucket_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("s", "bucket").orderBy("h", F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "bucket").orderBy("h", F.asc_nulls_last("doc_id"), "th", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = keyed.join(base, (F.col("s") == F.col("s_")) & (F.col("bucket") == F.col("bucket_")))
     return joined.select("doc_id", "size", "s", (F.col("base") + F.col("inside")).alias("begin"))
@@ -120,13 +131,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
     ``rows``: doc_id, size, source_size, target, taken.  ``pieces``: slot, epoch, s, begin, doc_id, size, from_word, n_words.
     """
-    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th")), "mix-sizes")
     sources = materialise(targets(sizes, weights, share, max_epochs), "mix-sources")
-    placed = materialise(_positions(sizes, sources, sizes.count()), "mix-positions")
+    placed = materialise(_positions(sizes, sources), "mix-positions")
     plan = materialise(_plan(sources, block_words), "mix-plan")
     b = F.lit(block_words)
     slots = schedule(plan).join(plan.select("s", "total", "want", "blocks"), "s")
-    slots = slots.withColumn("epoch", F.expr("r div blocks")).withColumn("block", F.expr("r % blocks"))
+    slots = slots.withColumn("epoch", F.expr("r div blocks"))
+    # every epoch takes its blocks in another order; the last one only has those before its end
+    of = slots.withColumn("of", F.when(F.col("epoch") < F.expr("want div total"), F.col("blocks")).otherwise(F.ceil((F.col("want") - F.col("epoch") * F.col("total")) / b)))
+    step = F.when(F.col("of") % PRIMES[0] != 0, F.lit(PRIMES[0])).otherwise(F.lit(PRIMES[1]))
+    turn = F.pmod(F.xxhash64("s", "epoch"), "of")
+    # (step mod of) times the rank stays below the square of the blocks
+    slots = of.withColumn("block", F.pmod((step % F.col("of")) * F.expr("r % blocks") + turn, "of").cast("long"))
     until = F.least(F.col("block") * b + b, F.col("total"), F.col("want") - F.col("epoch") * F.col("total"))
     slots = slots.select("slot", "epoch", "s", "block", until.alias("until"))
     parts = placed.where("size > 0").withColumn("end", F.col("begin") + F.col("size"))

@@ -18,8 +18,9 @@ r"""Near-duplicate detection with SetSketch registers.
 With 32 bands of 5 registers a pair at similarity 0.8 misses all buckets with a probability of 3e-6.
 
 Defined results: texts without words have an empty set and are linked with nothing; texts with fewer words than a
-shingle have the whole word sequence as their only shingle; null doc_ids sort after every other; an empty table gives
-an empty result.
+shingle have the whole word sequence as their only shingle; null doc_ids sort after every other; rows that repeat a doc_id
+are compared like any others, each gets the class of its own text, and all of them whose id is the smallest of their class
+are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ NO_ID = 9223372036854775807
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
-SALTS = 16
+#: Partners of a pivot that are compared in one part.
+PART_PAIRS = 1000
 SLACK = 14.0
 #: One bit per register: at similarity 0.8 about 16 of 160 bits differ, with a standard deviation of 3.8.
 MOST_BITS = 40
@@ -189,8 +191,8 @@ def _verify(percent: int):
 def checked_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) that their sketches leave plausible, with ``linked`` and ``inside`` from their full sets.
 
-    A pivot's set is sent once to each of its ``SALTS`` parts and compared with the partners there, so that neither a
-    frequent pivot's partners nor their sets meet in one task.
+    A pivot's set is sent once to each of its parts, as many as its partners need, and compared with the partners there, so
+    that neither a frequent pivot's partners nor their sets meet in one task.
     """
     left = classes.select(F.col("node").alias("a"), F.col("rep").alias("a_rep"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
     right = classes.select(F.col("node").alias("b"), F.col("rep").alias("b_rep"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
@@ -199,7 +201,8 @@ def checked_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
     need = going.select(F.col("a_rep").alias("rid")).union(going.select("b_rep")).distinct()
     texts = docs.join(need, "rid", "left_semi").select("text")
     sets = materialise(texts.mapInArrow(_sets(k), "node binary, values binary"), "near-sets", "lz4")
-    salted = going.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    parts = going.groupBy("a").agg(F.ceil(F.count("*") / PART_PAIRS).alias("parts"))
+    salted = going.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("salt"))
     partners = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "values")
     pivots = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a")
     pivots = pivots.select("a", "salt", F.lit(None).cast("binary").alias("b"), "values")
@@ -215,7 +218,7 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the smallest label among a node and its neighbours and then the label of that label (pointer
     jumping), so chains shorten by a factor in each round.  Rounds are written to the shared folder.
     """
-    edges = links.union(links.select("b", "a")).distinct().toDF("node", "other")
+    edges = materialise(links.union(links.select("b", "a")).distinct().toDF("node", "other"), "near-edges")
     labels = materialise(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "near-labels")
     while True:
         seen = labels.select(F.col("node").alias("other"), "label")
@@ -226,6 +229,7 @@ def components(links: DataFrame) -> DataFrame:
         moved = materialise(moved, "near-labels")
         dispose(labels)
         if not moved.where("label <> old").limit(1).count():
+            dispose(edges)
             return moved.select("node", "label")
         labels = moved.select("node", "label")
         labels._quantspark_path = moved._quantspark_path  # noqa: SLF001
@@ -233,8 +237,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    if not 80 <= percent <= 100:
+        raise ValueError("the bands are laid out for similarities of 80 % and more")
+    small_batches(docs.sparkSession)
     slim = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), "text")
     sketched = materialise(slim.mapInArrow(_sketch(k), "rid long, n long, node binary, sketch binary"), "near-sketches")
     grouped = sketched.where("n > 0").groupBy("node")

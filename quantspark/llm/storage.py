@@ -3,32 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+from ..sources.scratch import new_path, shared_dir
+
+__all__ = ["dispose", "materialise", "new_path", "reserve", "scope", "shared_dir", "shelter", "small_batches", "sweep"]
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="quantspark-")
-    return _LOCAL[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _SCOPES: list[str] = []
 _MADE: dict[str, list[DataFrame]] = {}
 
@@ -72,6 +57,13 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return out
 
 
+def shelter(df: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with names that operators use inside out of the way, and the names that lead back; ``added`` go for good."""
+    df = reserve(df, *added)
+    names = {c: f"own{i}_{c}" for i, c in enumerate(df.columns) if c.lower().startswith("qs_")}
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def reserve(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without its own columns of these names (in any case of letters), which a result is about to add."""
     taken = {n.lower() for n in names}

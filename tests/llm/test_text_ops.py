@@ -96,6 +96,9 @@ def test_lines(spark, base, least):
         assert (got[i]["text"] or "") == "\n".join(kept) and got[i]["qs_n_dropped"] == len((t or "").split("\n")) - len(kept)
         assert got[i]["rid"] == "r"
     assert lines.dedup_lines(table(spark, base).limit(0)).count() == 0
+    named = table(spark, base).withColumns({"qs_rid": F.lit("own"), "qs_Lines": F.lit(4), "qs_n_lines": F.lit("gone")})
+    clash = lines.dedup_lines(named, min_docs=least)
+    assert {(r["qs_rid"], r["qs_Lines"]) for r in clash.collect()} == {("own", 4)} and dict(clash.dtypes)["qs_n_lines"] == "bigint"
     twice = table(spark, ["a line that is repeated\nx", "a line that is repeated\ny"], [4, 4])
     assert lines.dedup_lines(twice).where("qs_n_dropped > 0").count() == 0
 
@@ -272,10 +275,54 @@ def test_chat_round_trip(spark):
         assert got[c]["formatted"].count("<|end|>") == 4 and not any(mark in body for mark in chat.CONTROL)
     assert [t["text"] for t in got[100]["turns"]] == ["first", "tie", "odd"]
     bad = spark.createDataFrame([("<|turn|>0user\nx",), ("<|turn|>9user\nx<|end|>",), ("<|turn|>0user\n</s><|end|>",)], "f string")
-    assert bad.select(F.forall(chat.parse(F.col("f")), lambda t: t["valid"]).alias("ok")).where("ok").count() <= 1  # no turn at all is no valid turn
+    assert chat.parse(bad, "f").select(F.forall("turns", lambda t: t["valid"]).alias("ok")).where("ok").count() <= 1  # no turn at all is no valid turn
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_positions_of_a_long_conversation_and_rows_without_an_id(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], HOSTILE[t % len(HOSTILE)]) for t in range(3 * chat.BLOCK + 5)]
+    rows += [(None, t, "assistant", f"alone {t}") for t in range(4)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("loss", chat.loss_text())
+    got = made.orderBy("conv_id", "loss").collect()
+    assert [r["loss"] for r in got[:4]] == [f"alone {t}" for t in range(4)] and all(r["identical"] for r in got)
+    assert got[4]["loss"] == "".join(text or "" for c, _, role, text in rows if c == 1 and role == "assistant")
+    for span in got[4]["loss_spans"]:
+        assert got[4]["formatted"][span["start"] - 2] == "\n" and got[4]["formatted"][span["start"] - 1 + span["length"] :].startswith("<|end|>")
+
+
+def test_near_recall_just_above_the_threshold(spark):
+    """Every pair of 1,500 planted ones with a similarity from 0.80 to 0.85 is found, through all filters."""
+    rng, texts = np.random.default_rng(3), []
+    for i in range(1500):
+        n = int(rng.integers(60, 240))
+        own = [f"r{i}w{j}" for j in range(n)]
+        texts += [" ".join(own), " ".join([f"s{i}w{j}" for j in range(int((n - 3) * rng.uniform(0.08, 0.11)))] + own[int((n - 3) * rng.uniform(0.07, 0.1)) :])]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(words, texts)]
+    linked = [100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    close = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(linked) > 1000 and np.mean(close) < 0.86
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(table(spark, texts), k=4).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(1500)] == linked
+
+
+def test_mixing_of_equal_rows_and_rows_without_an_id(spark):
+    """Rows that equal each other, or have no id or text, are rows of their own and spread over many buckets."""
+    texts = ["one two three"] * 3000 + [None] * 50 + [f"w{i} x" for i in range(2000)]
+    ids = [None] * 1500 + [5] * 1500 + [None] * 50 + [None] * 2000
+    docs = table(spark, texts, ids, ["a"] * 4000 + [None] * 1050)
+    made = mixing.mix(docs, block_words=16)
+    rows = made.rows.collect()
+    assert len(rows) == 5050 and all(r["taken"] <= 2 * r["size"] for r in rows)
+    by = {r["source_size"]: r["target"] for r in rows}
+    assert sum(r["taken"] for r in rows) == pytest.approx(sum(by.values()), abs=2)
+    begins = made.pieces.select("s", "begin", "doc_id", "size").distinct()
+    assert begins.groupBy("s", "begin").count().where("count > 1").count() == 0
+    epochs = made.pieces.where("s = 0").groupBy("epoch").agg(F.collect_list(F.struct("slot", "begin")).alias("x")).orderBy("epoch").collect()
+    orders = [[b for _, b in sorted(tuple(x) for x in r["x"])] for r in epochs]
+    assert len(orders) < 2 or orders[0] != orders[1]  # epochs differ in their order
+    assert orders[0] != sorted(orders[0])
+
+
 def fill(caps, weights, total):
     """Targets by repeated resharing."""
     got, open_ = dict.fromkeys(caps, 0.0), set(caps)
