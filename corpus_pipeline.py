@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quantspark.llm import langid, lines, mixing, near, packing
 from quantspark.llm.queries import documents, tokenizer_file
-from quantspark.llm.storage import materialise, scope, sweep
+from quantspark.llm.storage import materialise, scope, shelter, sweep
 
 #: A document is rejected unless this share of all its letters stands in likely words of learned languages: the larger part of
 #: it must be language.  Languages mixed in one document, and words that several have, do not count against it.
@@ -29,13 +29,17 @@ SCOPE = "corpus pipeline"
 
 
 def _stage(f: Callable) -> Callable:
-    """A stage begins when its predecessor's result has been written, so that one's intermediate tables can go."""
+    """A stage begins when its predecessor's result has been written, so that one's intermediate tables can go.
+
+    Columns of the documents whose names operators use inside are out of their way meanwhile.
+    """
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         sweep(SCOPE)
+        docs, back = shelter(docs)
         with scope(SCOPE):
-            return f(spark, docs, sf_dir)
+            return f(spark, docs, sf_dir).withColumnsRenamed(back)
 
     return run_stage
 
