@@ -7,8 +7,11 @@ import os
 import duckdb
 import pytest
 
-from quantspark.plans import oracles
-from quantspark.plans.queries import QUERIES
+from quantspark.plans import oracles, store_oracles, store_queries
+from quantspark.plans import queries as plans
+
+QUERIES = plans.QUERIES | store_queries.QUERIES
+SQL = oracles.SQL | store_oracles.SQL
 
 
 @pytest.fixture(scope="module")
@@ -34,13 +37,13 @@ def rows(columns, data):
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracles.SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(spark, duck, sf, name):
     got = QUERIES[name](spark, sf)
-    want = duck.execute(oracles.SQL[name])
+    want = duck.execute(SQL[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
