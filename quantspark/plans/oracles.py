@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.costs import MODELS
-from .queries import CENTERS, SECTION_GROUPS, STORED, STORED_FROM, TECHNICAL_GROUPS, VOLATILITY_GROUPS
+from .queries import CENTERS, SECTION_GROUPS, TECHNICAL_GROUPS, VOLATILITY_GROUPS
 from .registry import CATALOGUE, CROSS_SECTIONAL, MACRO, TECHNICAL, VOLATILITY
 
 W = "PARTITION BY ticker ORDER BY date"
@@ -136,10 +136,7 @@ m1 AS (SELECT date, {ret(c, 5)} AS spy_returns_5d, {ret(c, 21)} AS spy_returns_2
 macro AS (SELECT m1.*, market_return_dispersion FROM m1 LEFT JOIN {spread} USING (date))"""
 
 
-STORED_CTE = f"""{bars()}, {technical()},
-stored AS (SELECT ticker, date, feature_name, value FROM (SELECT ticker, date, {", ".join(STORED)} FROM tech WHERE date >= DATE '{STORED_FROM}')
-  UNPIVOT (value FOR feature_name IN ({", ".join(STORED)})))"""
-RETURNS = f"{INDEX}, rets AS (SELECT date, x / (1 + abs(x)) * 0.02 AS r FROM (SELECT date, {ret('adj_close', 1)} AS x FROM idx) WHERE x IS NOT NULL)"
+RETURNS = f"{INDEX}, rets AS (SELECT * FROM (SELECT date, {ret('adj_close', 1)} AS r FROM idx) WHERE r IS NOT NULL)"
 LABELS = f"{macro(False)}, labels AS (SELECT date, CAST(ntile(4) OVER (ORDER BY spy_vol_21d, date) - 1 AS INTEGER) AS regime FROM macro WHERE spy_vol_21d IS NOT NULL)"
 RUNS = """runs AS (SELECT any_value(regime) AS regime, min(date) AS start_date, max(date) AS end_date, count(*) AS n_days FROM (
   SELECT *, sum(changed) OVER (ORDER BY date) AS island FROM (
@@ -265,6 +262,9 @@ wide AS (SELECT tech.*, {", ".join(f"vola.{c}" for c in VOLATILITY)}, {", ".join
 
 
 ALL = [name for group in CATALOGUE.values() for name in group]
+STORED_CTE = f"""{_features_sql('n_name').removeprefix('WITH ')},
+stored AS (SELECT ticker, date, feature_name, value FROM (SELECT ticker, date, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ALL)} FROM wide)
+  UNPIVOT (value FOR feature_name IN ({', '.join(ALL)})))"""
 BAR_NUMBERS = ("open", "high", "low", "close", "volume", "adj_close")
 CHANGES = f"ch AS (SELECT ticker, date, close / nullif(lag(close) OVER ({W}), 0) - 1 AS change, count(*) OVER (PARTITION BY ticker) AS n FROM bars)"
 MISSING = """missing AS (SELECT s.ticker, d.date FROM (SELECT ticker, min(date) AS lo, max(date) AS hi FROM bars GROUP BY ticker) s
@@ -281,11 +281,11 @@ def _stale(close: str, days: int) -> str:
 SQL: dict[str, str] = {
     "bars": f"WITH {bars()} SELECT ticker, date, sector, {rnd(*BAR_NUMBERS, digits=9)} FROM bars",
     "market_panel": f"WITH {MARKET} SELECT ticker, date, sector, {rnd(*BAR_NUMBERS, digits=9)} FROM market",
-    "xs_volume_rank": f"WITH {bars('r_name')}, {section()} SELECT ticker, date, {rnd('rank_volume_ratio')} FROM xs",
+    "xs_volume_rank": f"WITH {bars()}, {section()} SELECT ticker, date, {rnd('rank_volume_ratio')} FROM xs",
     "macro_features": f"WITH {bars()}, {INDEX}, {section()}, {macro()} SELECT date, {rnd(*MACRO)} FROM macro",
     "features_49": f"{_features_sql('n_name')} SELECT ticker, date, {rnd(*ALL)} FROM wide",
-    "features_49_long": f"{_features_sql('r_name')} SELECT ticker, date, feature_name, round(value, 6) + 0.0 AS value FROM (SELECT ticker, date, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ALL)} FROM wide) UNPIVOT (value FOR feature_name IN ({', '.join(ALL)}))",
-    "feature_matrix": f"WITH {STORED_CTE} SELECT ticker, date, {', '.join(f'round(max(value) FILTER (feature_name = {c!r}), 6) + 0.0 AS {c}' for c in STORED)} FROM stored GROUP BY ticker, date",
+    "features_49_long": f"WITH {STORED_CTE} SELECT ticker, date, feature_name, round(value, 6) + 0.0 AS value FROM stored",
+    "feature_matrix": f"WITH {STORED_CTE} SELECT ticker, date, {', '.join(f'round(max(value) FILTER (feature_name = {c!r}), 6) + 0.0 AS {c}' for c in ALL)} FROM stored GROUP BY ticker, date",
     "feature_coverage": f"WITH {STORED_CTE} SELECT count(DISTINCT ticker) AS tickers, count(DISTINCT feature_name) AS features, count(*) AS total_rows, min(date) AS earliest_date, max(date) AS latest_date FROM stored",
     "latest_feature_date": f"WITH {STORED_CTE} SELECT ticker, max(date) AS latest_date FROM stored GROUP BY ticker",
     "available_features": f"WITH {STORED_CTE} SELECT DISTINCT feature_name FROM stored",
@@ -313,8 +313,9 @@ FROM b LEFT JOIN c USING (ticker)""",
     "universe_sector_tickers": "SELECT n_name AS ticker FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
     "metrics_all": f"WITH {RETURNS}, {metrics_sql('rets', None, 6)}",
     "drawdown": f"WITH {RETURNS}, {drawdown_cte('rets', '')} SELECT date, in_drawdown, {rnd('r', 'cumulative_return', 'running_max', 'drawdown')} FROM dd",
-    "rolling_metrics": f"""WITH {RETURNS} SELECT date, round(r, 5) AS r, round(pow({roll("product", "(1 + r)", 63, "ORDER BY date")}, 4.0) - 1, 5) AS rolling_return,
-  round(({roll("stddev_samp", "r", 63, "ORDER BY date")}) * sqrt(252), 5) AS rolling_volatility, round({rolling_sharpe()}, 5) AS rolling_sharpe FROM rets""",
+    "rolling_metrics": f"""WITH {RETURNS}, rets2 AS (SELECT date, r, pow({roll("product", "(1 + r)", 63, "ORDER BY date")}, 4.0) - 1 AS rr FROM rets)
+SELECT date, round(r, 5) AS r, round(CASE WHEN abs(rr) >= 1000 THEN round(rr, -3) ELSE rr END, 5) AS rolling_return,
+  round(({roll("stddev_samp", "r", 63, "ORDER BY date")}) * sqrt(252), 5) AS rolling_volatility, round({rolling_sharpe()}, 5) AS rolling_sharpe FROM rets2""",
     "monthly_returns": f"""WITH {RETURNS}, mo AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, product(1 + r) - 1 AS r FROM rets GROUP BY 1),
 every AS (SELECT CAST(unnest(generate_series((SELECT min(month) FROM mo), (SELECT max(month) FROM mo), INTERVAL 1 MONTH)) AS DATE) AS month)
 SELECT month, round(coalesce(r, 0), 6) AS r FROM every LEFT JOIN mo USING (month)""",

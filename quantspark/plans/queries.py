@@ -22,7 +22,7 @@ from ..operators.volatility import volatility
 from ..sources import panel, store, tables, universe
 from ..sources.ingest import todo
 from ..streaming import features as streams
-from .pipeline import feature_frame
+from .pipeline import ALL_FEATURES, feature_frame
 from .registry import FeatureRegistry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,6 @@ SECTION_GROUPS = {
     "xs_breadth_dispersion": ("market_breadth", "dispersion_21d"),
 }
 REGIME_FEATURES = ("returns_21d", "z_score_21d", "volume_ratio_21d", "realized_vol_21d", "parkinson_vol_21d", "rsi_14")
-STORED = ("returns_1d", "returns_21d", "z_score_21d", "volume_ratio_21d")
-STORED_FROM = "1994-01-01"
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -75,26 +73,25 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spread = cross_sectional(panel.bars(spark, sf_dir)).select("date", "dispersion_21d")
-    return rounded(macro(panel.index_bars(spark, sf_dir), spread))
+    each, index = panel.bars_and_index(spark, sf_dir)
+    return rounded(macro(index, cross_sectional(each).select("date", "dispersion_21d")))
 
 
 def features_49_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = feature_frame(panel.bars(spark, sf_dir, "r_name"), panel.index_bars(spark, sf_dir))
-    return rounded(store.to_long(frame))
+    return rounded(_stored(spark, sf_dir))
 
 
 def features_49(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(feature_frame(panel.bars(spark, sf_dir), panel.index_bars(spark, sf_dir)))
+    return rounded(feature_frame(*panel.bars_and_index(spark, sf_dir)))
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = technical(panel.bars(spark, sf_dir)).where(F.col("date") >= F.lit(STORED_FROM).cast("date"))
-    return store.to_long(frame.select("ticker", "date", *STORED))
+    """The feature store's rows: all features of all bars."""
+    return store.to_long(feature_frame(*panel.bars_and_index(spark, sf_dir)))
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(store.to_wide(_stored(spark, sf_dir), list(STORED)))
+    return rounded(store.to_wide(_stored(spark, sf_dir), list(ALL_FEATURES)))
 
 
 def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +173,8 @@ def universe_sector_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily returns of the index, damped to at most two per cent, the size of market returns."""
-    index = panel.index_bars(spark, sf_dir).withColumn("x", ret("adj_close", 1, by_date()))
-    return index.select("date", (F.col("x") / (1 + F.abs("x")) * 0.02).alias("r")).where("r IS NOT NULL")
+    """Daily returns of the index."""
+    return panel.index_bars(spark, sf_dir).select("date", ret("adj_close", 1, by_date()).alias("r")).where("r IS NOT NULL")
 
 
 def metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +186,10 @@ def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.rolling_metrics(_index_returns(spark, sf_dir)), 5)
+    found = metrics.rolling_metrics(_index_returns(spark, sf_dir))
+    # compounded to a year the largest are in the billions, where engines agree in about fifteen digits
+    coarse = F.when(F.abs("rolling_return") >= 1000, F.round("rolling_return", -3)).otherwise(F.col("rolling_return"))
+    return rounded(found.withColumn("rolling_return", coarse), 5)
 
 
 def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,18 +351,18 @@ def pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_bars = panel.bars(spark, sf_dir, "r_name")
-    names = sorted(r[0] for r in panel.read(spark, sf_dir, "region").select("r_name").collect())
+    all_bars = panel.bars(spark, sf_dir)
+    names = sorted(r[0] for r in panel.read(spark, sf_dir, "nation").select("n_name").collect())
     return rounded(MarketPCA(n_components=2).exposures(market_returns(all_bars, names), names), 4)
 
 
 def kmeans_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     components = _components(spark, sf_dir).cache()
-    return KMeansRegimes(4, n_init=3).fit(components).predict(components).select("date", "regime")
+    return KMeansRegimes(4).fit(components).predict(components).select("date", "regime")
 
 
 def _detector(method: str) -> RegimeDetector:
-    return RegimeDetector(method, 3, RollingPCA(n_components=3), n_init=3)
+    return RegimeDetector(method, 3, RollingPCA(n_components=3))
 
 
 def hmm_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +404,7 @@ QUERIES: dict[str, Query] = {"bars": bars, "market_panel": market_panel}
 QUERIES |= {k: partial(_select, technical, v, "n_name") for k, v in TECHNICAL_GROUPS.items()}
 QUERIES |= {k: partial(_select, volatility, v, "n_name") for k, v in VOLATILITY_GROUPS.items()}
 QUERIES |= {k: partial(_select, cross_sectional, v, "n_name") for k, v in SECTION_GROUPS.items()}
-QUERIES |= {"xs_volume_rank": partial(_select, cross_sectional, ("rank_volume_ratio",), "r_name")}
+QUERIES |= {"xs_volume_rank": partial(_select, cross_sectional, ("rank_volume_ratio",), "n_name")}
 QUERIES |= {f"signals_{k.lower().replace('-', '_').replace('/', '_')}": partial(_signals, k) for k in STRATEGIES}
 QUERIES |= {
     f.__name__: f

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import keep
+
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
@@ -34,15 +36,41 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("px", F.try_divide("l_extendedprice", "l_quantity"))
 
 
-def bars(spark: SparkSession, sf_dir: str, ticker: str = "n_name") -> DataFrame:
-    """ticker, date, open, high, low, close, volume, adj_close, sector."""
+def homes(spark: SparkSession, sf_dir: str, ticker: str = "n_name") -> DataFrame:
+    """s_suppkey, ticker, sector of every supplier."""
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     # 25 nations and 5 regions, whatever the scale
     nations = F.broadcast(read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey")))
-    placed = suppliers.join(nations, F.expr("s_nationkey = n_nationkey")).select("s_suppkey", F.col(ticker).alias("ticker"), F.col("r_name").alias("sector"))
-    joined = trades(spark, sf_dir).join(placed, F.expr("l_suppkey = s_suppkey"))
-    out = _bars(joined, "ticker", "date", "sector")
-    return out.select("ticker", "date", "open", "high", "low", "close", "volume", "adj_close", "sector")
+    return suppliers.join(nations, F.expr("s_nationkey = n_nationkey")).select("s_suppkey", F.col(ticker).alias("ticker"), F.col("r_name").alias("sector"))
+
+
+COLUMNS = ("ticker", "date", "open", "high", "low", "close", "volume", "adj_close", "sector")
+
+
+def bars(spark: SparkSession, sf_dir: str, ticker: str = "n_name") -> DataFrame:
+    """ticker, date, open, high, low, close, volume, adj_close, sector."""
+    joined = trades(spark, sf_dir).join(homes(spark, sf_dir, ticker), F.expr("l_suppkey = s_suppkey"))
+    return _bars(joined, "ticker", "date", "sector").select(*COLUMNS)
+
+
+def bars_and_index(spark: SparkSession, sf_dir: str, ticker: str = "n_name") -> tuple[DataFrame, DataFrame]:
+    """:func:`bars` and :func:`index_bars` from one scan of the trades, kept: bars are few, and features read them often.
+
+    A bar carries the places of its first and last trade, so that the day's bar of all tickers follows from theirs.
+    """
+    joined = trades(spark, sf_dir).join(homes(spark, sf_dir, ticker), F.expr("l_suppkey = s_suppkey"), "left")
+    at = F.struct(*ORDER)
+    parts = joined.groupBy("ticker", "date", "sector").agg(
+        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"),
+        F.sum("l_quantity").alias("volume"), F.min(at).alias("first"), F.max(at).alias("last"),
+    )
+    parts = keep(parts.withColumn("adj_close", F.col("close")), "bars")
+    whole = parts.groupBy("date").agg(
+        F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"),
+        F.sum("volume").alias("volume"),
+    )
+    index = whole.withColumns({"adj_close": F.col("close"), "ticker": F.lit("SPY"), "sector": F.lit("Index")})
+    return parts.where("ticker IS NOT NULL").select(*COLUMNS), index.select(*COLUMNS)
 
 
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +88,8 @@ def bond_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_panel(spark: SparkSession, sf_dir: str, ticker: str = "n_name") -> DataFrame:
-    return bars(spark, sf_dir, ticker).unionByName(index_bars(spark, sf_dir)).unionByName(bond_bars(spark, sf_dir))
+    each, index = bars_and_index(spark, sf_dir, ticker)
+    return each.unionByName(index).unionByName(bond_bars(spark, sf_dir))
 
 
 def dense_grid(panel: DataFrame) -> DataFrame:
