@@ -191,7 +191,7 @@ def _verify(percent: int):
 def checked_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) that their sketches leave plausible, with ``linked`` and ``inside`` from their full sets.
 
-    A pivot's set is sent once to each of its parts, as many as its partners need, and compared with the partners there, so
+    A pivot's set is sent once to each part that holds a partner, of as many as the most frequent pivot needs, and compared with the partners there, so
     that neither a frequent pivot's partners nor their sets meet in one task.
     """
     left = classes.select(F.col("node").alias("a"), F.col("rep").alias("a_rep"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
@@ -201,8 +201,8 @@ def checked_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
     need = going.select(F.col("a_rep").alias("rid")).union(going.select("b_rep")).distinct()
     texts = docs.join(need, "rid", "left_semi").select("text")
     sets = materialise(texts.mapInArrow(_sets(k), "node binary, values binary"), "near-sets", "lz4")
-    parts = going.groupBy("a").agg(F.ceil(F.count("*") / PART_PAIRS).alias("parts"))
-    salted = going.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("salt"))
+    most = going.groupBy("a").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0  # of the most frequent pivot
+    salted = going.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(-(-most // PART_PAIRS) or 1)).alias("salt"))
     partners = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "values")
     pivots = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a")
     pivots = pivots.select("a", "salt", F.lit(None).cast("binary").alias("b"), "values")
