@@ -23,11 +23,17 @@ MODEL = "refit int, refit_date date, mean array<double>, scale array<double>, lo
 
 
 def cleaned(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows with a value, gaps filled from earlier rows, rows before every feature has begun dropped; ``i`` from 0."""
+    """Rows with a value, gaps filled from earlier rows, rows before every feature has begun dropped; ``i`` from 0.
+
+    Rows without a value fill nothing, so they are dropped after the fill.  Below it a condition on all columns would meet
+    the projection that names them, and the planner keeps it under each choice of old and new names: 2**features of them.
+    """
     w = Window.orderBy("date")
-    some = F.coalesce(*[F.col(f) for f in features]).isNotNull()
-    filled = matrix.where(some).select("date", *(ffill(f, w).alias(f) for f in features)).na.drop("any", subset=list(features))
-    return filled.withColumn("i", F.row_number().over(w) - 1)
+    own = [f"_own{i}" for i in range(len(features))]
+    rows = matrix.select("date", *(F.col(f).alias(o) for f, o in zip(features, own, strict=True)))
+    filled = rows.select("date", *own, *(ffill(o, w).alias(f) for f, o in zip(features, own, strict=True)))
+    some = filled.where(F.coalesce(*own).isNotNull()).select("date", *features)
+    return some.na.drop("any", subset=list(features)).withColumn("i", F.row_number().over(w) - 1)
 
 
 def fit(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,8 +61,8 @@ class RollingPCA:
         low = F.greatest(F.ceil((F.col("i") - w) / f).cast("int"), F.lit(0))
         high = F.floor(F.col("i") / f).cast("int")
         refits = F.array_distinct(F.concat(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), F.when(F.col("i") >= w, F.array(F.floor((F.col("i") - w) / f).cast("int"))).otherwise(F.array().cast("array<int>"))))
-        last = rows.agg(F.max("i").alias("top"))
-        spread = rows.withColumn("refit", F.explode(refits)).crossJoin(F.broadcast(last))
+        # the rows are in one partition for their numbers; a window there spares a second scan for the last one
+        spread = rows.withColumn("top", F.max("i").over(Window.partitionBy())).withColumn("refit", F.explode(refits))
         return spread.where(F.col("refit") * f + w <= F.col("top")).drop("top")
 
     def _run(self, features: Sequence[str], models: bool):

@@ -105,3 +105,25 @@ def test_analysis(spark):
     returns = spark.createDataFrame([(d, 0.01 if i % 2 else 0.02) for i, d in enumerate(days)], "date date, r double")
     assert {r["suggested_label"] for r in analysis.characterize(labels, returns=returns).collect()} == {"Steady Bull"}
     assert analysis.performance(labels, returns).where("hit_rate = 1").count() == 2
+
+
+def test_market_pca_of_many_tickers_matches_numpy(spark):
+    """25 named columns with gaps: a condition on all of them below the fill took 2**25 forms in the planner."""
+    rng, n, tickers = np.random.default_rng(3), 150, [f"T{i:02}" for i in range(25)]
+    days = pd.bdate_range("2020-01-01", periods=n).date
+    wide = pd.DataFrame(rng.normal(size=(n, 25)) @ rng.normal(size=(25, 25)), index=days, columns=tickers)
+    wide = wide.mask(rng.random(wide.shape) < 0.1)
+    wide.iloc[[60, 61]] = None
+    rows = [(d, None if pd.isna(x) else float(x), t) for t in tickers for d, x in wide[t].items()]
+    long = spark.createDataFrame(rows, "date date, r double, ticker string")
+    returns = long.groupBy("date").pivot("ticker", tickers).agg(F.first("r"))
+    full = wide.dropna(how="all").ffill().dropna()
+    pca = MarketPCA(2, 100, 21)
+    found = pca.exposures(returns, tickers).toPandas().pivot(index=["refit", "factor"], columns="ticker", values="exposure")
+    refits = [at for at in range(100, len(full), 21)]
+    assert len(found) == 2 * len(refits) > 2
+    for g, at in enumerate(refits):
+        x = full.to_numpy()[at - 100 : at + 1]
+        v = np.linalg.svd((x - x.mean(0)) / x.std(0), full_matrices=False)[2][:2]
+        np.testing.assert_allclose(np.abs(found.loc[g].to_numpy()), np.abs(v), atol=1e-7)
+    assert pca.fit_transform(returns, tickers).count() == len(full) - 100
