@@ -126,6 +126,15 @@ class _Model:
         self.symbol, self.low, self.width = symbol, low.astype(_U), (high - low).astype(_U)
         self.at = ((context << _PAIR_BITS) | low).astype(self.key)
 
+    def places(self, targets: np.ndarray) -> np.ndarray:
+        """The pair at each lane's target.  Sorted targets are found several times as fast, as neighbours share a cache line."""
+        bits = len(targets).bit_length()
+        packed = (targets << bits | np.arange(len(targets))).astype(_U)
+        packed.sort()
+        out = np.empty(len(targets), np.int64)
+        out[(packed & _U((1 << bits) - 1)).astype(np.int64)] = np.searchsorted(self.at, (packed >> _U(bits)).astype(self.key), "right")
+        return out - 1
+
     def sorted_keys(self, symbols: np.ndarray, prev1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pair keys of a run in rising order, their places in the run): few enough to carry the place in the same word."""
         packed = (((prev1 << self.bits) | symbols).ravel() << 17 | np.arange(symbols.size)).astype(_U)
@@ -293,8 +302,9 @@ def _encode(ids: np.ndarray) -> bytes:
                 at -= bits
                 writer.code((whole[done + t] >> at & (1 << bits) - 1).astype(_U), np.ones(lanes, _U), bits)
         model.prev1, model.prev2 = now[-1], before[-2]
-        model.learn(now, kind, sure, prev1, found)
         done += run
+        if done < steps:
+            model.learn(now, kind, sure, prev1, found)
     return _BLOCK.pack(shift, lanes, largest) + writer.finish()
 
 
@@ -320,7 +330,7 @@ def _decode(payload: bytes, count: int) -> np.ndarray:
             past0, past1 = part >= edge0, part >= edge1
             # below 2**28 over below 2**12: the rounded quotient has the right whole part; other kinds have no target
             target = np.where(past1, _U(0), part - np.minimum(edge0, part)).astype(float) / share1.astype(float)
-            place = np.searchsorted(model.at, ((prev1 << _PAIR_BITS) | target.astype(np.int64)).astype(model.key), "right") - 1
+            place = model.places((prev1 << _PAIR_BITS) | target.astype(np.int64))
             first = np.where(past1, edge1, edge0 + share1 * model.low.take(place))
             size = np.where(past1, _PARTS - edge1, share1 * model.width.take(place))
             reader.take(unit * np.where(past0, first, _U(0)), unit * np.where(past0, size, edge0))
@@ -343,9 +353,10 @@ def _decode(payload: bytes, count: int) -> np.ndarray:
                 whole[t] = whole[t] << bits | low.astype(np.int64)
             prev1, prev2 = now, prev1
         part = slice(done, done + run)
-        found, _ = model.sorted_keys(symbols[part], prevs[part])
-        model.learn(symbols[part], kinds[part], sures[part], prevs[part], found)
         done += run
+        if done < steps:
+            found, _ = model.sorted_keys(symbols[part], prevs[part])
+            model.learn(symbols[part], kinds[part], sures[part], prevs[part], found)
     return whole.T.reshape(-1)[:count].astype("<u4")
 
 

@@ -6,6 +6,11 @@ of a text is a unit of its own.  Both kinds of pre-tokenizer start a new match a
 ids of its units one after another.  The only exception are white-space characters beyond ASCII, which the pattern of a
 byte-level tokenizer can join across a cut; texts with such a character are encoded whole.
 
+Where a tokenizer's pattern is ``FINE`` and its normalizer lower-cases, words are cut further, between ASCII characters that no
+match of the pattern spans, and A-Z are lower-cased beforehand, so that fewer distinct units are left.  A letter before a byte
+beyond ASCII, which may be a mark that the normalizer composes with it, stays as it is, and so do texts in which one of the
+tokenizer's own tokens stands.
+
 Each distinct unit of a slice, found by its 64-bit hash, is encoded once by the library.  Units go to it in lots, joined by
 the tokenizer's own special token: the library cuts a text there before anything else, so that each unit is encoded by
 itself, and the special token's id marks where its ids end.  A lot that itself contains this token is encoded unit by unit.
@@ -17,6 +22,7 @@ encoder.  When the table is full, new units are encoded for their slice only; wh
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -29,6 +35,22 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 CACHE_UNITS, CACHE_IDS, STALE = 500_000, 3_000_000, 4
 TABLE_BITS = 20
 LOT = 8192
+FINE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE = 1, 2, 3, 4  # 0: bytes beyond ASCII, white space and control characters
+
+
+def _cuts() -> tuple[np.ndarray, np.ndarray]:
+    """(class of each byte, whether ``FINE`` always ends a match between two classes, at 5 * first + second)."""
+    classes, cut = np.zeros(256, np.uint8), np.zeros((5, 5), bool)
+    classes[0x21:0x7F] = _SIGN
+    classes[0x30:0x3A], classes[0x41:0x5B], classes[0x61:0x7B], classes[0x27] = _DIGIT, _LETTER, _LETTER, _APOSTROPHE
+    cut[_DIGIT, 1:] = cut[1:, _DIGIT] = True  # a digit is a match of its own
+    # no match goes on behind a letter with a sign; only one that begins with an apostrophe goes on behind a sign with a letter
+    cut[_LETTER, _SIGN] = cut[_LETTER, _APOSTROPHE] = cut[_SIGN, _LETTER] = True
+    return classes, cut.ravel()
+
+
+_CLASSES, _CUT = _cuts()
 _RAW_TABLE = kernel._TABLES[False].copy()  # noqa: SLF001
 _RAW_TABLE[kernel.SPACE] = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -54,6 +76,8 @@ class Encoder:
         self.spaces = spaces
         marks = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark_id, self.mark = max(marks, default=(-1, ""))
+        self.own = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fine = not spaces and self._is_fine()
         self.starts, self.counts, self.odd = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
         self.ids = np.zeros(1 << 18, np.uint32)
         self._clear()
@@ -65,6 +89,36 @@ class Encoder:
             cls._held[path, spaces] = cls(path, spaces)
         return cls._held[path, spaces]
 
+    def _is_fine(self) -> bool:
+        """Whether the tokenizer lower-cases, splits by ``FINE`` and has only tokens of its own that are found as they are."""
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+        norm, pre = state(self.tokenizer.normalizer), state(self.tokenizer.pre_tokenizer)
+        first = (pre.get("pretokenizers") or [{}])[0]
+        split = [first.get(k) for k in ("type", "pattern", "behavior", "invert")] == ["Split", {"Regex": FINE}, "Removed", True]
+        after = [(p["type"], p.get("use_regex"), p.get("add_prefix_space")) for p in (pre.get("pretokenizers") or [])[1:]]
+        lower = [(n["type"], n.get("pattern"), n.get("content")) for n in norm.get("normalizers") or []]
+        plain = all(t.content.isascii() and not t.normalized for t in self.tokenizer.get_added_tokens_decoder().values())
+        return plain and split and after == [("ByteLevel", False, False)] and lower == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+
+    def _refine(self, words: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, start, end, units before each row): words cut as finely as ``FINE`` allows, A-Z lower-cased."""
+        data = words.data
+        low = data.tobytes().lower()
+        if not len(words.start) or any(own in low for own in self.own):
+            return data, words.start, words.end, words.ptr
+        cut = np.zeros(len(data) + 1, bool)
+        kinds = _CLASSES[data]
+        cut[1:-1] = _CUT[kinds[:-1] * np.uint8(5) + kinds[1:]]
+        cut[words.offsets] = False
+        first, last = cut, cut.copy()
+        first[words.start] = True
+        last[words.end] = True
+        start, end = np.flatnonzero(first), np.flatnonzero(last)
+        alone = np.ones(len(data), bool)
+        alone[:-1] = data[1:] < 128
+        folded = np.where(alone, np.frombuffer(low, np.uint8), data)
+        return folded, start, end, np.searchsorted(start, words.offsets)
+
     def _clear(self) -> None:
         self.keys = np.zeros(1 << TABLE_BITS, np.uint64)  # open addressing; 0 is free
         self.index = np.zeros(1 << TABLE_BITS, np.int32)
@@ -99,6 +153,8 @@ class Encoder:
     def _units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, start, end, units before each row)."""
         words = kernel.words_of(column)
+        if self.fine:
+            return self._refine(words)
         if not self.spaces:
             return words.data, words.start, words.end, words.ptr
         low, high, counts = words.offsets[:-1], words.offsets[1:], words.counts

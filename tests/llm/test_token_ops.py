@@ -32,6 +32,20 @@ def test_units_give_the_library_s_ids(name, spaces):
         assert [p.tolist() for p in parts] == [plain.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_words_share_units_where_the_pattern_allows():
+    path = tokenizer_file("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), Encoder(path, False)
+    texts = ["Hound hound. HOUND, (hound) 4hound4", "hound'S ''s'll x''re 12,5", "H\u0331 h\u0331 I\u0307.i\u0307 e\u0301.E\u0301 <\u0338= 2\u20dd", "\u017f\u212a.k K\x00.a _a_-b"]
+    encoder.encode(pa.array(texts[:1]))
+    assert encoder.known == 6  # hound . , ( ) 4
+    texts += ["<|ENDOFTEXT|>", "Hound.<|endoftext|>hound. <|StartOfText|>", None, ""]
+    for column in (texts[:4], texts, texts[::-1]):
+        ids, counts = encoder.encode(pa.array(column))
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in column]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert not Encoder(tokenizer_file("byte_bpe_50k.json"), False).fine
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \t\n  abzÀß’'́漢0<|>endoftx", max_size=40), min_size=1, max_size=6))
 def test_units_on_odd_texts(texts):
