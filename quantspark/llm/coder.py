@@ -50,6 +50,10 @@ _BUCKETS, _SURE = 12, 8
 _GAIN = 32  # of an observation against an id's least share in order 0
 _BLEND = 16  # of order 0 in a context's line, against 16 for each pair seen
 _MOST_PAIRS = 1 << _PAIR_BITS - 1
+_TIMES_BITS = 24  # of a pair in a block
+_PLACE = _U((1 << _PAIR_BITS) - 1)
+_NO_CELL = _U(1 << 63)  # a cell: symbol, first place on the context's line, places less one
+_HASH1, _HASH2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 _WORD = _U(32)
 _LOW = _U(0xFFFFFFFF)
 _FULL = _U(1 << 32)
@@ -64,24 +68,24 @@ class _Model:
         # pairs and their places on the line of a context fit 32 bits for alphabets up to 2**16
         self.key = np.uint32 if self.bits <= 16 else np.uint64
         self.last = np.zeros(1 << _SLOT_BITS, np.int32)  # symbol * 8 + confidence, 0 if empty
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.before = np.zeros((2, lanes), np.int32)  # the last two rows of symbols
         self.seen = np.zeros(self.size, np.int64)
-        self.follows = np.zeros(self.size, np.int64)  # how often an id was a previous id
-        self.bucket = np.zeros(self.size, np.int64)
-        self.pairs = np.zeros(0, np.uint64)  # previous symbol << bits | symbol, rising
-        self.times = np.zeros(0, np.int64)
+        self.bucket = np.zeros(self.size, np.int32)  # by how often an id was a previous id
+        self.pairs = np.zeros(0, np.uint64)  # (previous symbol << bits | symbol) << _TIMES_BITS | times, rising
         self.counts = [np.zeros(s + (3,)) for s in ((1, 1), (1, _BUCKETS), (_SURE, 1), (_SURE, _BUCKETS))]
         self.score = np.ones(4)
         self._mix()
         self._order0()
         self._order1()
 
-    def slot(self, prev1: np.ndarray, prev2: np.ndarray) -> np.ndarray:
-        return (prev1 * 0x9E3779B1 + prev2 * 0x85EBCA77) >> 7 & (1 << _SLOT_BITS) - 1
+    @staticmethod
+    def slot(prev1: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+        """Of the last two symbols; only the low 25 bits of the sum count, so 32 bits are enough."""
+        return (prev1.view(np.uint32) * _HASH1 + prev2.view(np.uint32) * _HASH2) >> np.uint32(7) & np.uint32((1 << _SLOT_BITS) - 1)
 
-    def remember(self, slot: np.ndarray, entry: np.ndarray, symbol: np.ndarray, hit: np.ndarray) -> None:
-        sure = np.where(hit, np.minimum((entry & 7) + 1, 7), 1)
-        self.last[slot] = symbol << 3 | sure  # of equal slots the last lane counts
+    def remember(self, slot: np.ndarray, entry: np.ndarray, fresh: np.ndarray, hit: np.ndarray) -> None:
+        """``fresh``: entries of what came, at the least confidence; of equal slots the last lane counts."""
+        self.last[slot] = np.where(hit, np.minimum(entry + 1, entry | 7), fresh)
 
     def _mix(self) -> None:
         w = self.score * self.score
@@ -91,60 +95,66 @@ class _Model:
         f = (p * ((1 << _KIND_BITS) - 3)).astype(np.int64) + 1
         self.edge0 = f[..., 0].ravel().astype(_U) << _U(_PAIR_BITS)
         self.share1 = f[..., 1].ravel().astype(_U)
+        self.edge1 = self.edge0 + (self.share1 << _U(_PAIR_BITS))
 
     def _order0(self) -> None:
-        self.line = np.concatenate([[0], np.cumsum(self.seen * _GAIN + 1)]).astype(_U)
+        self.freq = (self.seen * _GAIN + 1).astype(_U)
+        self.line = np.concatenate([np.zeros(1, _U), np.cumsum(self.freq)])
         self.total = int(self.line[-1])
 
     def _order1(self) -> None:
-        """Places of the pairs on their contexts' lines, 2**16 long: frequencies blended with the order-0 ones."""
+        """Places of the pairs on their contexts' lines, 2**16 long: frequencies blended with the order-0 ones.
+
+        All quotients are of integers below 2**53, whose rounded quotients have the right whole part."""
         if not len(self.pairs):
-            self.at = np.zeros(1, self.key)
-            self.symbol, self.low, self.width = np.zeros(1, np.int64), np.zeros(1, _U), np.ones(1, _U)
+            self.at, self.cells = np.zeros(1, self.key), np.zeros(1, _U)
             return
-        context = (self.pairs >> _U(self.bits)).astype(np.int64)
-        symbol = (self.pairs & _U((1 << self.bits) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.diff(context, prepend=-1))
+        pairs = self.pairs.view(np.int64)
+        context = pairs >> _TIMES_BITS + self.bits
+        start = np.concatenate([[True], context[1:] != context[:-1]])
+        first = np.flatnonzero(start)
         many = np.diff(first, append=len(context))
+        group = np.cumsum(start) - 1
         if int(many.max()) > _MOST_PAIRS:  # of a wide alphabet: the others of the context stay with order 0
-            keep = np.arange(len(context)) - np.repeat(first, many) < _MOST_PAIRS
-            self.pairs, self.times = self.pairs[keep], self.times[keep]
+            self.pairs = self.pairs[np.arange(len(context)) - first.take(group) < _MOST_PAIRS]
             self._order1()
             return
+        symbol = pairs >> _TIMES_BITS & (1 << self.bits) - 1
         # a context's line is shared by what it has seen, and a little by how frequent its ids are at all
-        common = self.seen[symbol]
-        weight = self.times * 16 + common * np.repeat(many * _BLEND, many) // np.repeat(np.add.reduceat(common, first), many)
-        ends = np.cumsum(weight)
-        base = np.repeat(ends[first] - weight[first], many)
-        sums = np.repeat(np.add.reduceat(weight, first), many)
-        nth = np.arange(len(context)) - np.repeat(first, many)
+        common = self.seen.take(symbol).astype(float)
+        weight = (common * (many * float(_BLEND)).take(group) / np.add.reduceat(common, first).take(group)).astype(np.int64)
+        weight += (pairs & (1 << _TIMES_BITS) - 1) << 4
+        ends = np.concatenate([[0], np.cumsum(weight)])
+        base = ends.take(first)
+        sums = np.diff(base, append=ends[-1])
         # every pair keeps one place at least
-        free = (1 << _PAIR_BITS) - np.repeat(many, many)
-        low = (ends - weight - base) * free // sums + nth
-        high = (ends - base) * free // sums + nth + 1
-        high[first + many - 1] = 1 << _PAIR_BITS
-        self.symbol, self.low, self.width = symbol, low.astype(_U), (high - low).astype(_U)
-        self.at = ((context << _PAIR_BITS) | low).astype(self.key)
-
-    def places(self, targets: np.ndarray) -> np.ndarray:
-        """The pair at each lane's target.  Sorted targets are found several times as fast, as neighbours share a cache line."""
-        bits = len(targets).bit_length()
-        packed = (targets << bits | np.arange(len(targets))).astype(_U)
-        packed.sort()
-        out = np.empty(len(targets), np.int64)
-        out[(packed & _U((1 << bits) - 1)).astype(np.int64)] = np.searchsorted(self.at, (packed >> _U(bits)).astype(self.key), "right")
-        return out - 1
-
-    def sorted_keys(self, symbols: np.ndarray, prev1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pair keys of a run in rising order, their places in the run): few enough to carry the place in the same word."""
-        packed = (((prev1 << self.bits) | symbols).ravel() << 17 | np.arange(symbols.size)).astype(_U)
-        packed.sort()
-        return packed >> _U(17), (packed & _U((1 << 17) - 1)).astype(np.int64)
+        low = (ends[:-1] - base.take(group)).astype(float)
+        low *= ((1 << _PAIR_BITS) - many).astype(float).take(group)
+        low /= sums.astype(float).take(group)
+        low = low.astype(np.int64)
+        low += np.arange(len(low)) - first.take(group)
+        less = np.empty_like(low)  # a width less one
+        less[:-1] = low[1:] - low[:-1] - 1
+        less[first + many - 1] = (1 << _PAIR_BITS) - 1 - low.take(first + many - 1)
+        self.cells = (symbol << 2 * _PAIR_BITS | low << _PAIR_BITS | less).view(_U)
+        self.at = (context << _PAIR_BITS | low).astype(self.key)
+
+    def pairs_of(self, symbols: np.ndarray, prev1: np.ndarray) -> np.ndarray:
+        return (prev1.astype(_U) << _U(self.bits) | symbols.astype(_U)).ravel()
+
+    def match(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(different pairs, how often each comes, its place among the known ones, whether it is there) of a run's sorted pairs."""
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        fresh, times = found.take(first).astype(_U) << _U(_TIMES_BITS), np.diff(first, append=len(found))
+        place = np.searchsorted(self.pairs, fresh)
+        known = np.zeros(len(fresh), bool)
+        if len(self.pairs):
+            known = self.pairs.take(np.minimum(place, len(self.pairs) - 1)) >> _U(_TIMES_BITS) == fresh >> _U(_TIMES_BITS)
+        return fresh, times, place, known
 
-    def learn(self, symbols: np.ndarray, kind: np.ndarray, sure: np.ndarray, prev1: np.ndarray, found: np.ndarray) -> None:
-        """Take in a run, whose sorted pair keys are ``found``: rows are steps, columns lanes."""
-        place = (sure * _BUCKETS + self.bucket.take(prev1)) * 3 + kind
-        new = np.bincount(place.ravel(), minlength=_SURE * _BUCKETS * 3).reshape(_SURE, _BUCKETS, 3).astype(float)
+    def learn(self, symbols: np.ndarray, marks: np.ndarray, matched: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Take in a run: rows are steps, columns lanes; ``marks``: 3 * context + kind of each id."""
+        new = np.bincount(marks.ravel(), minlength=_SURE * _BUCKETS * 3).reshape(_SURE, _BUCKETS, 3).astype(float)
         news = (new.sum(axis=(0, 1), keepdims=True), new.sum(axis=0, keepdims=True), new.sum(axis=1, keepdims=True), new)
         gave = np.array([(n * p).sum() for n, p in zip(news, self.given, strict=True)])
         self.score = self.score * 0.5 + gave / symbols.size
@@ -152,32 +162,41 @@ class _Model:
         self._mix()
         self.seen += np.bincount(symbols.ravel(), minlength=self.size)
         self._order0()
-        self.follows += np.bincount(prev1.ravel(), minlength=self.size)
-        self.bucket = np.minimum(np.frexp(self.follows.astype(float))[1], _BUCKETS - 1).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        fresh, times = found[first], np.diff(first, append=len(found))
-        place = np.searchsorted(self.pairs, fresh)
-        known = np.zeros(len(fresh), bool)
-        inside = place < len(self.pairs)
-        known[inside] = self.pairs[place[inside]] == fresh[inside]
-        self.times[place[known]] += times[known]
-        self.pairs, self.times = np.insert(self.pairs, place[~known], fresh[~known]), np.insert(self.times, place[~known], times[~known])
+        # all but the last row have been previous ids, and before the first row stood noughts
+        follows = self.seen - np.bincount(symbols[-1], minlength=self.size)
+        follows[0] += symbols.shape[1]
+        self.bucket = np.minimum(np.frexp(follows.astype(float))[1], _BUCKETS - 1).astype(np.int32)
+        fresh, times, place, known = matched
+        self.pairs[place[known]] += times[known].astype(_U)
+        more = np.flatnonzero(~known)
+        at = place.take(more) + np.arange(len(more))
+        old = np.ones(len(self.pairs) + len(more), bool)
+        old[at] = False
+        pairs = np.empty(len(old), _U)
+        pairs[old] = self.pairs
+        pairs[at] = fresh.take(more) + times.take(more).astype(_U)
+        self.pairs = pairs
         self._order1()
 
 
 class _Writer:
     def __init__(self, lanes: int) -> None:
+        self.lanes = lanes
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        self.words, self.n = np.zeros((64, lanes), np.uint32), np.zeros(lanes, np.int64)
+        self.words = np.zeros(64 * lanes, np.uint32)  # rows of a word for each lane
+        self.next = np.arange(lanes)  # each lane's next place there
+        self.rows = 0  # no lane has more words
 
     def _emit(self, who: np.ndarray) -> None:
-        n = self.n[who]
-        if int(n.max()) >= len(self.words):
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
-        low = self.low[who]
-        self.words[n, who] = low >> _WORD
-        self.n[who] = n + 1
-        self.range[who] = np.minimum(self.range[who], _FULL - (low & _LOW)) << _WORD
+        self.rows += 1
+        if self.rows * self.lanes > len(self.words):
+            self.rows = int(self.next.max()) // self.lanes + 1
+            if self.rows * self.lanes > len(self.words):
+                self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+        low, at = self.low.take(who), self.next.take(who)
+        self.words[at] = low >> _WORD
+        self.next[who] = at + self.lanes
+        self.range[who] = np.minimum(self.range.take(who), _FULL - (low & _LOW)) << _WORD
         self.low[who] = low << _WORD
 
     def code(self, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
@@ -189,7 +208,7 @@ class _Writer:
             self._emit(short)
 
     def code_some(self, who: np.ndarray, start: np.ndarray, freq: np.ndarray, total: int) -> None:
-        unit = self.range[who] // _U(total)
+        unit = self.range.take(who) // _U(total)
         self.low[who] += unit * start
         size = unit * freq
         self.range[who] = size
@@ -202,8 +221,10 @@ class _Writer:
         everyone = np.arange(len(self.low))
         self.low += _LOW  # the interval is at least 2**32 long: the next whole word is inside
         self._emit(everyone)
-        rows = np.arange(int(self.n.max()))[None, :] < self.n[:, None]
-        return self.n.astype("<u4").tobytes() + np.ascontiguousarray(self.words[: rows.shape[1]].T)[rows].astype("<u4").tobytes()
+        n = self.next // self.lanes
+        rows = np.arange(int(n.max()))[None, :] < n[:, None]
+        words = self.words.reshape(-1, self.lanes)[: rows.shape[1]]
+        return n.astype("<u4").tobytes() + np.ascontiguousarray(words.T)[rows].astype("<u4").tobytes()
 
 
 class _Reader:
@@ -212,32 +233,37 @@ class _Reader:
         flat = np.frombuffer(data, "<u4", offset=4 * lanes)
         if int(n.sum()) != len(flat):
             raise ValueError("a block of a token file is cut off")
+        self.lanes = lanes
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        words = np.zeros((lanes, int(n.max()) + 2), _U)  # nought follows the last word
+        words = np.zeros((lanes, int(n.max()) + 2), np.uint32)  # nought follows the last word
         words[np.arange(words.shape[1])[None, :] < n[:, None]] = flat
-        self.words = np.ascontiguousarray(words.T)
-        self.value, self.n = (self.words[0] << _WORD) | self.words[1], np.full(lanes, 2)
+        self.words = np.ascontiguousarray(words.T).ravel()
+        two = self.words[: 2 * lanes].reshape(2, lanes).astype(_U)
+        self.ahead = (two[0] << _WORD) | two[1]  # the value that was read, less the interval's lower end
+        self.next = np.arange(2 * lanes, 3 * lanes)  # each lane's next word
 
     def _fill(self, who: np.ndarray, size: np.ndarray) -> None:
-        low, n = self.low[who], self.n[who]
+        low, at = self.low.take(who), self.next.take(who)
         self.range[who] = np.minimum(size, _FULL - (low & _LOW)) << _WORD
         self.low[who] = low << _WORD
-        self.value[who] = (self.value[who] << _WORD) | self.words[np.minimum(n, len(self.words) - 1), who]
-        self.n[who] = n + 1
+        self.ahead[who] = (self.ahead.take(who) << _WORD) | self.words.take(at)
+        self.next[who] = at + self.lanes
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         self.low += start
+        self.ahead -= start
         self.range = size
         who = np.flatnonzero(size < _FULL)
         if len(who):
-            self._fill(who, size[who])
+            self._fill(who, size.take(who))
 
     def take_some(self, who: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         self.low[who] += start
+        self.ahead[who] -= start
         self.range[who] = size
-        short = size < _FULL
-        if short.any():
-            self._fill(who[short], size[short])
+        short = np.flatnonzero(size < _FULL)
+        if len(short):
+            self._fill(who.take(short), size.take(short))
 
 
 def _shape(count: int) -> tuple[int, int]:
@@ -258,53 +284,55 @@ def _raw_bits(shift: int) -> list[int]:
 def _encode(ids: np.ndarray) -> bytes:
     lanes, steps = _shape(len(ids))
     shift = max(0, int(ids.max()).bit_length() - SYMBOL_BITS)
-    whole = np.zeros(lanes * steps, np.int64)
+    whole = np.zeros(lanes * steps, np.uint32)
     whole[: len(ids)] = ids
     whole = np.ascontiguousarray(whole.reshape(lanes, steps).T)
-    symbols, largest = whole >> shift, int(ids.max()) >> shift
+    symbols, largest = (whole >> np.uint32(shift)).view(np.int32), int(ids.max()) >> shift
     model, writer = _Model(lanes, largest), _Writer(lanes)
     done = 0
     while done < steps:
         run = _run(done, lanes, steps)
         now = symbols[done : done + run]
-        before = np.concatenate([model.prev2[None], model.prev1[None], now])
-        prev1, slots = before[1:-1], model.slot(before[1:-1], before[:-2])
-        sure, hit2 = np.empty(now.shape, np.int64), np.empty(now.shape, bool)
+        before = np.concatenate([model.before, now])
+        prev1, slots = before[1:-1], model.slot(before[1:-1], before[:-2]).astype(np.int64)
+        entries, hit2, fresh = np.empty_like(now), np.empty(now.shape, bool), now << 3 | 1
         for t in range(run):
-            entry = model.last.take(slots[t])
-            sure[t] = entry & 7
-            hit2[t] = (entry >> 3 == now[t]) & (sure[t] > 0)
-            model.remember(slots[t], entry, now[t], hit2[t])
-        found, where = model.sorted_keys(now, prev1)
-        place = np.empty(now.shape, np.int64)
-        place.ravel()[where] = np.searchsorted(model.pairs, found)
-        hit1 = np.zeros(now.shape, bool)
-        if len(model.pairs):
-            np.minimum(place, len(model.pairs) - 1, out=place)
-            hit1.ravel()[where] = model.pairs.take(place.ravel()[where]) == found
-        else:
-            place[:] = 0
-        kind = np.where(hit2, 0, np.where(hit1, 1, 2))
-        context = sure * _BUCKETS + model.bucket.take(prev1)
-        edge0, share1 = model.edge0.take(context), model.share1.take(context)
-        edge1 = edge0 + (share1 << _U(_PAIR_BITS))
-        one = kind == 1
-        start = np.where(hit2, _U(0), np.where(one, edge0 + share1 * model.low.take(place), edge1))
-        freq = np.where(hit2, edge0, np.where(one, share1 * model.width.take(place), _PARTS - edge1))
+            entry = entries[t] = model.last.take(slots[t])
+            hit = hit2[t] = (entry >> 3 == now[t]) & (entry > 0)
+            model.remember(slots[t], entry, fresh[t], hit)
+        # a run is short enough to sort the place with the pair, in one word
+        packed = model.pairs_of(now, prev1) << _U(17) | np.arange(now.size, dtype=_U)
+        packed.sort()
+        matched = model.match(packed >> _U(17))
+        _, times, place, known = matched
+        cells = np.where(known, model.cells.take(np.minimum(place, len(model.cells) - 1)), _NO_CELL)
+        cell = np.empty(now.shape, _U)
+        cell.ravel()[(packed & _U((1 << 17) - 1)).view(np.int64)] = np.repeat(cells, times)
+        context = ((entries & 7) * np.int32(_BUCKETS) + model.bucket.take(prev1)).astype(np.int64)
+        kind = np.where(hit2, np.int32(0), 1 + (cell == _NO_CELL).astype(np.int32))
+        rest = np.flatnonzero(kind == 2)
+        new = now.ravel().take(rest)
+        low0, freq0 = model.line.take(new), model.freq.take(new)
+        row, who = rest // lanes, rest % lanes
+        cuts = np.searchsorted(row, np.arange(run + 1)).tolist()
         for t in range(run):
-            writer.code(start[t], freq[t], _BITS)
-            who = np.flatnonzero(kind[t] == 2)
-            if len(who):
-                new = now[t][who]
-                writer.code_some(who, model.line.take(new), model.line.take(new + 1) - model.line.take(new), model.total)
+            edge0, edge1, share1 = (x.take(context[t]) for x in (model.edge0, model.edge1, model.share1))
+            one = kind[t] == 1
+            start = np.where(one, edge0 + share1 * (cell[t] >> _U(_PAIR_BITS) & _PLACE), edge1)
+            freq = np.where(one, share1 * ((cell[t] & _PLACE) + _U(1)), _PARTS - edge1)
+            start[hit2[t]] = 0
+            writer.code(start, np.where(hit2[t], edge0, freq), _BITS)
+            part = slice(cuts[t], cuts[t + 1])
+            if cuts[t] < cuts[t + 1]:
+                writer.code_some(who[part], low0[part], freq0[part], model.total)
             at = shift
             for bits in _raw_bits(shift):
                 at -= bits
-                writer.code((whole[done + t] >> at & (1 << bits) - 1).astype(_U), np.ones(lanes, _U), bits)
-        model.prev1, model.prev2 = now[-1], before[-2]
+                writer.code((whole[done + t].astype(_U) >> _U(at)) & _U((1 << bits) - 1), np.ones(lanes, _U), bits)
+        model.before = before[-2:]
         done += run
         if done < steps:
-            model.learn(now, kind, sure, prev1, found)
+            model.learn(now, context * 3 + kind, matched)
     return _BLOCK.pack(shift, lanes, largest) + writer.finish()
 
 
@@ -312,52 +340,62 @@ def _decode(payload: bytes, count: int) -> np.ndarray:
     shift, lanes, largest = _BLOCK.unpack_from(payload)
     steps = -(-count // lanes)
     model, reader = _Model(lanes, largest), _Reader(lanes, payload[_BLOCK.size :])
-    symbols, whole = np.empty((steps, lanes), np.int64), np.zeros((steps, lanes), np.int64)
-    kinds, sures, prevs = (np.empty((steps, lanes), np.int64) for _ in range(3))
-    most, done = _PARTS - _U(1), 0
-    prev1, prev2 = model.prev1, model.prev2
+    rows, whole = np.zeros((steps + 2, lanes), np.int32), np.zeros((steps, lanes), np.uint32)
+    symbols = rows[2:]  # before them stand noughts
+    marks = np.empty((steps, lanes), np.int32)
+    most, done, lane_bits = _PARTS - _U(1), 0, lanes.bit_length()
+    prev1 = np.zeros(lanes, np.int64)
     while done < steps:
         run = _run(done, lanes, steps)
         for t in range(done, done + run):
-            slot = model.slot(prev1, prev2)
+            slot = model.slot(rows[t + 1], rows[t]).astype(np.int64)
             entry = model.last.take(slot)
-            sure = entry & 7
-            context = sure * _BUCKETS + model.bucket.take(prev1)
+            context = ((entry & 7) * np.int32(_BUCKETS) + model.bucket.take(prev1)).astype(np.int64)
+            edge0, edge1 = model.edge0.take(context), model.edge1.take(context)
             unit = reader.range >> _U(_BITS)
-            edge0, share1 = model.edge0.take(context), model.share1.take(context)
-            edge1 = edge0 + (share1 << _U(_PAIR_BITS))
-            part = np.minimum((reader.value - reader.low) // unit, most)
+            part = np.minimum(reader.ahead // unit, most)
             past0, past1 = part >= edge0, part >= edge1
-            # below 2**28 over below 2**12: the rounded quotient has the right whole part; other kinds have no target
-            target = np.where(past1, _U(0), part - np.minimum(edge0, part)).astype(float) / share1.astype(float)
-            place = model.places((prev1 << _PAIR_BITS) | target.astype(np.int64))
-            first = np.where(past1, edge1, edge0 + share1 * model.low.take(place))
-            size = np.where(past1, _PARTS - edge1, share1 * model.width.take(place))
-            reader.take(unit * np.where(past0, first, _U(0)), unit * np.where(past0, size, edge0))
-            now = np.where(past0, model.symbol.take(place), entry >> 3)
+            start, size = np.where(past1, edge1, _U(0)), np.where(past1, _PARTS - edge1, edge0)
+            now = entry >> 3
+            who = np.flatnonzero(past0 != past1)
+            if len(who):
+                # below 2**28 over below 2**12: the rounded quotient has the right whole part
+                target = (part.take(who) - edge0.take(who)).astype(float) / model.share1.take(context.take(who)).astype(float)
+                # sorted targets are found several times as fast, as neighbours share a cache line
+                packed = (prev1.take(who) << _PAIR_BITS | target.astype(np.int64)) << lane_bits | who
+                packed.sort()
+                who = packed & (1 << lane_bits) - 1
+                cell = model.cells.take(np.searchsorted(model.at, (packed >> lane_bits).astype(model.key), "right") - 1)
+                share1 = model.share1.take(context.take(who))
+                start[who] = edge0.take(who) + share1 * (cell >> _U(_PAIR_BITS) & _PLACE)
+                size[who] = share1 * ((cell & _PLACE) + _U(1))
+                now[who] = cell >> _U(2 * _PAIR_BITS)
+            reader.take(unit * start, unit * size)
             who = np.flatnonzero(past1)
             if len(who):
-                unit = reader.range[who] // _U(model.total)
-                target = np.minimum((reader.value[who] - reader.low[who]) // unit, _U(model.total - 1))
+                unit = reader.range.take(who) // _U(model.total)
+                target = np.minimum(reader.ahead.take(who) // unit, _U(model.total - 1))
                 new = np.searchsorted(model.line, target, "right") - 1
-                low = model.line.take(new)
-                reader.take_some(who, unit * low, unit * (model.line.take(new + 1) - low))
+                reader.take_some(who, unit * model.line.take(new), unit * model.freq.take(new))
                 now[who] = new
-            model.remember(slot, entry, now, ~past0)
-            symbols[t], kinds[t], sures[t], prevs[t] = now, past0.astype(np.int64) + past1, sure, prev1
-            whole[t] = now
-            for bits in _raw_bits(shift):
-                unit = reader.range >> _U(bits)
-                low = np.minimum((reader.value - reader.low) // unit, _U((1 << bits) - 1))
-                reader.take(unit * low, unit)
-                whole[t] = whole[t] << bits | low.astype(np.int64)
-            prev1, prev2 = now, prev1
+            model.remember(slot, entry, now << 3 | 1, ~past0)
+            symbols[t], marks[t] = now, context * 3 + past0 + past1
+            prev1 = now.astype(np.int64)
+            if shift:
+                high = now.view(np.uint32)
+                for bits in _raw_bits(shift):
+                    unit = reader.range >> _U(bits)
+                    low = np.minimum(reader.ahead // unit, _U((1 << bits) - 1))
+                    reader.take(unit * low, unit)
+                    high = high << np.uint32(bits) | low.astype(np.uint32)
+                whole[t] = high
         part = slice(done, done + run)
         done += run
         if done < steps:
-            found, _ = model.sorted_keys(symbols[part], prevs[part])
-            model.learn(symbols[part], kinds[part], sures[part], prevs[part], found)
-    return whole.T.reshape(-1)[:count].astype("<u4")
+            found = model.pairs_of(symbols[part], rows[part.start + 1 : part.stop + 1]).astype(model.key)
+            found.sort()
+            model.learn(symbols[part], marks[part], model.match(found))
+    return (whole if shift else symbols.view(np.uint32)).T.reshape(-1)[:count].astype("<u4")
 
 
 def frame(kind: int, count: int, crc: int, payload: bytes) -> bytes:

@@ -6,14 +6,16 @@ of a text is a unit of its own.  Both kinds of pre-tokenizer start a new match a
 ids of its units one after another.  The only exception are white-space characters beyond ASCII, which the pattern of a
 byte-level tokenizer can join across a cut; texts with such a character are encoded whole.
 
-Where a tokenizer's pattern is ``FINE`` and its normalizer lower-cases, words are cut further, between ASCII characters that no
-match of the pattern spans, and A-Z are lower-cased beforehand, so that fewer distinct units are left.  A letter before a byte
-beyond ASCII, which may be a mark that the normalizer composes with it, stays as it is, and so do texts in which one of the
-tokenizer's own tokens stands.
+Where a tokenizer's pattern is ``FINE`` and its normalizer lower-cases, words are cut further, between characters that no
+match of the pattern spans, and capitals are lower-cased beforehand, so that fewer distinct units are left.  Only ASCII and letters
+of two bytes that the normalizer composes with nothing before them take part.  A letter before any other character, which may be
+a mark that the normalizer composes with it, stays as it is, and so do texts in which one of the tokenizer's own tokens stands.
 
 Each distinct unit of a slice, found by its 64-bit hash, is encoded once by the library.  Units go to it in lots, joined by
 the tokenizer's own special token: the library cuts a text there before anything else, so that each unit is encoded by
 itself, and the special token's id marks where its ids end.  A lot that itself contains this token is encoded unit by unit.
+Units of small letters alone are one match each and stay as they are when normalized, so the library's model gets them at once, by
+its own interface for texts that are cut already; the suffix that it puts at the end of a word marks where their ids end.
 
 Memory is bounded: a table keeps the ids of at most ``CACHE_UNITS`` units and ``CACHE_IDS`` ids, and a worker holds one
 encoder.  When the table is full, new units are encoded for their slice only; when these have become
@@ -22,9 +24,11 @@ encoder.  When the table is full, new units are encoded for their slice only; wh
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,51 @@ def _cuts() -> tuple[np.ndarray, np.ndarray]:
 
 
 _CLASSES, _CUT = _cuts()
+
+
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For characters of at most two bytes: (letters that NFC leaves alone, those that are small too, the small one of each).
+
+    A letter whose small form has another length in bytes counts as its own."""
+    letter, small, lower = np.zeros(2048, bool), np.zeros(2048, bool), np.arange(2048)
+    for i in range(2048):
+        c = chr(i)
+        # the small form of U+0130 ends with a mark, which a match of signs takes up
+        letter[i] = unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1
+        small[i] = letter[i] and c.lower() == c
+        if letter[i] and len(c.lower().encode()) == len(c.encode()):
+            lower[i] = ord(c.lower())
+    return letter, small, lower
+
+
+_LETTERS, _SMALL, _LOWER = _letters()
+
+
+def _byte_chars() -> str:
+    """The character that stands for each byte in the vocabularies of byte-level tokenizers; a space, which parts words, is itself."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    chars = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(chars[b] for b in range(256))
+
+
+_BYTE_CHARS = _byte_chars()
+_PARTED = "".join(" " if b == 0x20 else c for b, c in enumerate(_BYTE_CHARS))
+
+
+def _pairs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bytes, code points) of the characters of two bytes."""
+    lead = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    return lead, (data.take(lead).astype(np.int64) & 31) << 6 | data.take(lead + 1) & 63
+
+
+def _is_small(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a small letter."""
+    out = _SMALL[:256][data] & (data < 128)
+    lead, code = _pairs(data)
+    lead = lead[_SMALL.take(code)]
+    out[lead] = out[lead + 1] = True
+    return out
 _RAW_TABLE = kernel._TABLES[False].copy()  # noqa: SLF001
 _RAW_TABLE[kernel.SPACE] = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -78,6 +127,7 @@ class Encoder:
         self.mark_id, self.mark = max(marks, default=(-1, ""))
         self.own = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fine = not spaces and self._is_fine()
+        self.model, self.ends = self._word_model() if self.fine else (None, np.zeros(0, bool))
         self.starts, self.counts, self.odd = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
         self.ids = np.zeros(1 << 18, np.uint32)
         self._clear()
@@ -100,14 +150,31 @@ class Encoder:
         plain = all(t.content.isascii() and not t.normalized for t in self.tokenizer.get_added_tokens_decoder().values())
         return plain and split and after == [("ByteLevel", False, False)] and lower == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
 
+    def _word_model(self):
+        """(the model alone, which ids end a word), where every word ends with such an id, or (None, nothing)."""
+        from tokenizers import Tokenizer
+
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab()
+        # the suffix has to hold a sign, so that no part of a word of letters looks like it
+        if not suffix or not set(suffix) & set("<>/_#@") or any(c + suffix not in vocab for c in _BYTE_CHARS):
+            return None, np.zeros(0, bool)
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        return Tokenizer(self.tokenizer.model), ends
+
     def _refine(self, words: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes, start, end, units before each row): words cut as finely as ``FINE`` allows, A-Z lower-cased."""
+        """(bytes, start, end, units before each row): words cut as finely as ``FINE`` allows, capitals lower-cased."""
         data = words.data
         low = data.tobytes().lower()
         if not len(words.start) or any(own in low for own in self.own):
             return data, words.start, words.end, words.ptr
         cut = np.zeros(len(data) + 1, bool)
         kinds = _CLASSES[data]
+        lead, code = _pairs(data)
+        letter = _LETTERS.take(code)
+        lead, code = lead[letter], code[letter]
+        kinds[lead] = kinds[lead + 1] = _LETTER
         cut[1:-1] = _CUT[kinds[:-1] * np.uint8(5) + kinds[1:]]
         cut[words.offsets] = False
         first, last = cut, cut.copy()
@@ -115,8 +182,11 @@ class Encoder:
         last[words.end] = True
         start, end = np.flatnonzero(first), np.flatnonzero(last)
         alone = np.ones(len(data), bool)
-        alone[:-1] = data[1:] < 128
+        alone[:-1] = (data[1:] < 128) | (kinds[1:] == _LETTER)
         folded = np.where(alone, np.frombuffer(low, np.uint8), data)
+        capital = (_LOWER.take(code) != code) & alone.take(lead + 1)
+        lead, code = lead[capital], _LOWER.take(code[capital])
+        folded[lead], folded[lead + 1] = 0xC0 | code >> 6, 0x80 | code & 63
         return folded, start, end, np.searchsorted(start, words.offsets)
 
     def _clear(self) -> None:
@@ -191,20 +261,36 @@ class Encoder:
                 return np.array([x for one in found for x in one], np.uint32), np.fromiter(map(len, found), np.int64, len(found)), odd
         return np.delete(ids, cuts), np.diff(cuts, prepend=-1) - 1, odd
 
+    def _lot_of_words(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``_lot`` gives, for units of small letters."""
+        ends = np.cumsum(size + 1)
+        joined = np.full(int(ends[-1]), 0x20, np.uint8)
+        inside = np.ones(len(joined), bool)
+        inside[ends - 1] = False
+        joined[inside] = ragged(data, start, size, np.arange(len(start)))
+        words = codecs.charmap_decode(joined[:-1].tobytes(), "strict", _PARTED)[0].split(" ")
+        ids = np.array(self.model.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        return ids, np.diff(np.flatnonzero(self.ends.take(ids)), prepend=-1), np.zeros(len(start), bool)
+
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int]:
         """Put the ids of units behind the known ones; (units, ids) that are there now."""
-        units, total = self.known, self.known_ids
-        for at in range(0, len(start), LOT):
-            part = slice(at, at + LOT)
-            ids, counts, odd = self._lot(data, start[part], (end - start)[part])
-            while units + len(counts) > len(self.starts):
-                self.starts, self.counts, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.odd))
-            while total + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            here = slice(units, units + len(counts))
-            self.starts[here], self.counts[here], self.odd[here] = total + np.cumsum(counts) - counts, counts, odd
-            self.ids[total : total + len(ids)] = ids
-            units, total = units + len(counts), total + len(ids)
+        units, total, size = self.known + len(start), self.known_ids, end - start
+        while units > len(self.starts):
+            self.starts, self.counts, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.odd))
+        words = np.zeros(len(start), bool)
+        if self.model is not None:
+            others = np.concatenate([[0], np.cumsum(~_is_small(data), dtype=np.int64)])
+            words = others.take(end) == others.take(start)
+        for which, lot in ((np.flatnonzero(words), self._lot_of_words), (np.flatnonzero(~words), self._lot)):
+            for at in range(0, len(which), LOT):
+                part = which[at : at + LOT]
+                ids, counts, odd = lot(data, start.take(part), size.take(part))
+                while total + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                here = self.known + part
+                self.starts[here], self.counts[here], self.odd[here] = total + np.cumsum(counts) - counts, counts, odd
+                self.ids[total : total + len(ids)] = ids
+                total += len(ids)
         return units, total
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

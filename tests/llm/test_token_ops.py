@@ -46,6 +46,36 @@ def test_words_share_units_where_the_pattern_allows():
     assert not Encoder(tokenizer_file("byte_bpe_50k.json"), False).fine
 
 
+def test_letters_of_two_bytes_share_units():
+    path = tokenizer_file("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), Encoder(path, False)
+    encoder.encode(pa.array(["Größe größe. ÉTÉ, (été) ДОМ;дом ΣΑΣ σασ"]))
+    assert encoder.known == 9  # größe . été , ( ) дом ; σασ
+    odd = [chr(i) for i in range(0x80, 0x800)]
+    forms = ["{}", "a{}", "{}a", "A{0}{0}B", "{}.", ".{}", "É{}́", "4{}'s", "'{}"]
+    texts = [" ".join(form.format(c) for c in odd) for form in forms]
+    texts += ["Ȩ́.ȩ́ ß̣", "É", "́É", "ÀÉ 漢É", "É<|ENDOFTEXT|>É. é"]
+    for column in (texts[:-1], texts):
+        ids, counts = encoder.encode(pa.array(column))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in column]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_words_of_small_letters_go_to_the_model_at_once():
+    encoder, sent = Encoder(tokenizer_file("word_bpe_49k.json"), False), []
+    whole = encoder.tokenizer
+
+    class Spy:
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **how)
+
+    encoder.tokenizer = Spy()
+    ids, _ = encoder.encode(pa.array(["Hound größe, дом", "ünder HOUND"]))
+    assert sent == [f",{encoder.mark}"]  # only the sign is normalized and split again
+    assert ids.tolist() == [i for t in ("Hound größe, дом", "ünder HOUND") for i in whole.encode(t, add_special_tokens=False).ids]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \t\n  abzÀß’'́漢0<|>endoftx", max_size=40), min_size=1, max_size=6))
 def test_units_on_odd_texts(texts):
