@@ -108,8 +108,9 @@ def ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, pick: np.
     """The runs values[starts[i] : starts[i] + counts[i]] for i in pick, one after another."""
     n = counts[pick]
     ends = np.cumsum(n)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
-    return values[np.repeat(starts[pick], n) + at]
+    at = np.repeat(starts[pick] - (ends - n), n)
+    at += np.arange(len(at))
+    return values.take(at)
 
 
 class Encoder:
@@ -279,8 +280,9 @@ class Encoder:
             self.starts, self.counts, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.odd))
         words = np.zeros(len(start), bool)
         if self.model is not None:
-            others = np.concatenate([[0], np.cumsum(~_is_small(data), dtype=np.int64)])
-            words = others.take(end) == others.take(start)
+            others = np.concatenate([[0], np.cumsum(~_is_small(ragged(data, start, size, np.arange(len(start)))), dtype=np.int64)])
+            ends = np.cumsum(size)
+            words = others.take(ends) == others.take(ends - size)
         for which, lot in ((np.flatnonzero(words), self._lot_of_words), (np.flatnonzero(~words), self._lot)):
             for at in range(0, len(which), LOT):
                 part = which[at : at + LOT]
